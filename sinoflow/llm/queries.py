@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, simhash, token_output
+from . import decontaminate, exact_dedup, mixing, quality, repeats, simhash, token_output, toxicity, url_filter
+from .training import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def predicted(scores: DataFrame, held: Column) -> DataFrame:
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predicted(toxicity.toxicity(docs, table(spark, sf_dir, "labels"), fold(5) != 0), fold(5) == 0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predicted(quality.quality(docs, table(spark, sf_dir, "labels"), fold(3) != 1), fold(3) == 1)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,12 +63,20 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op6_quality": op6_quality,
+    "op7_urls": op7_urls,
     "op8_tokens": op8_tokens,
     "op9_mix": op9_mix,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL = {
