@@ -111,7 +111,7 @@ def strings_around(data: bytes, at: list[int], length: int) -> tuple[np.ndarray,
     ok = (at >= off) & (at - off + length <= len(data))
     start, off = (at - off)[ok], off[ok].astype(np.uint64)
     h, g = (Hashes(data, k).of(start, start + length) for k in (0, 1))
-    return start, mix(h ^ mix(off + np.uint64(1))), (g >> np.uint64(32)).astype(np.uint32)
+    return start, mix(h ^ mix(off + np.uint64(1))), (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def spans_of(n: int, settled: list[int], starts: list[int], length: int) -> list[tuple[int, int]]:
@@ -142,11 +142,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 at, bucket, wide = scan(text, length)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row), pa.int64()), _long(at), _long(bucket), _long(wide)], ["row", "at", "bucket", "wide"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row), pa.int64()), pa.array(at.astype(np.int32)), _long(bucket), _long(wide)], ["row", "at", "bucket", "wide"])
 
-    schema = "row long, at long, bucket long, wide long"
+    schema = "row long, at int, bucket long, wide long"
     found = rows.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(suffixes, schema)
-    found = scratch.save(found.select("row", F.col("at").cast("int").alias("at"), "bucket", "wide"), "suffixes")
+    found = scratch.save(found, "suffixes")
     # Refined buckets with their sizes and one suffix, then buckets with theirs.
     fine = found.groupBy("bucket", "wide").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("first"))
     fine = scratch.save(fine, "fine")
@@ -163,10 +163,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 start, h, g = strings_around(text, at, length)
                 for k in range(0, len(start), 100_000):
                     s = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start[s]), row), pa.int64()), _long(start[s]), _long(h[s]), _long(g[s])], ["row", "start", "h", "g"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start[s]), row), pa.int64()), pa.array(start[s].astype(np.int32)), _long(h[s]), pa.array(g[s])], ["row", "start", "h", "g"])
 
-    told = rows.join(asked.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).select("row", "text", "at").mapInArrow(tell, "row long, start long, h long, g long")
-    told = scratch.save(told.select("row", F.col("start").cast("int").alias("start"), "h", F.col("g").cast("int").alias("g")), "told")
+    told = rows.join(asked.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).select("row", "text", "at").mapInArrow(tell, "row long, start int, h long, g int")
+    told = scratch.save(told, "told")
     twice = told.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
     starts = told.join(twice, ["h", "g"], "left_semi").groupBy("row").agg(F.collect_set("start").alias("starts"))
     places = settled.join(starts, "row", "full").withColumnRenamed("row", "_row")

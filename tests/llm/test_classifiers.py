@@ -59,12 +59,15 @@ def test_isotonic_rises_and_fits():
     assert np.allclose(np.interp([1, 2, 3, 4], at, p), [0, 0.5, 0.5, 1])
 
 
+W = url_filter.train()
+
+
 def plain_judge(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate(str.maketrans(url_filter.UPPER, url_filter.LOWER)), m[2]) if m else ("", "")
     fits = [r for r in url_filter.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
     best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
-    w, g = url_filter.train(), url_filter.grams(host, path)
+    w, g = W, url_filter.grams(host, path)
     z = sum(w[url_filter.bucket(s)] for s in g) / np.sqrt(max(1, len(g))) + w[-1]
     score = 1 / (1 + np.exp(-z))
     return host, path, best and best[1] + best[2], best[0] if best else "block" if score >= 0.5 else "allow", score
@@ -74,7 +77,7 @@ def test_urls_as_plain_python(spark, small):
     urls = ["http://A.Example.NET/en/1", "x", None, "", "http://net", "https://example.com/de/?q", "ftp://u@h.org/fr/#x", "a://b://c/d", "http://é.org/\nz", "HTTP://CHEAP-PILLS.com/buy", "https://x.example.org"]
     own = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
     for pages in (own, spark.read.parquet(f"{small}/pages.parquet").withColumn("host", F.lit(1))):
-        got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+        got = {r["page_id"]: r for r in url_filter.judge(pages, weights=W).collect()}
         for p in pages.collect():
             *want, score = plain_judge(p["url"])
             r = got[p["page_id"]]
