@@ -59,7 +59,7 @@ QUERIES = {
     "prior_gradient": _of(lambda d: A.prior_gradient(d, 10.0), volume),
     "backproject": _of(lambda d: T.backproject(A.drop_column(d))),
     "filtered_backproject": _of(lambda d: T.backproject(A.drop_column(d), filtered=True)),
-    "project": _of(lambda d: T.project(A.crop_image(A.pad_image(d, 1, 16, A.RIGHT), 2, 17, A.RIGHT), T.even_angles(12)), volume),
+    "project": _of(lambda d: T.project(d.where("row_id < 15"), T.even_angles(12)), volume),
 }
 
 SINO = "WITH s AS (SELECT CAST(label AS BIGINT) AS slice_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
