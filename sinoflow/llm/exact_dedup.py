@@ -38,6 +38,7 @@ def stream_state(spark: SparkSession, path: str, scratch: Scratch, digest=sha256
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # each partition's log would hold 4 MB more than it fills
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
