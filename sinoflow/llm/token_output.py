@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,7 @@ def piecewise(encode_batch: Callable[[list[str]], list[list[int]]], special: lis
     return encode
 
 
+@lru_cache(maxsize=1)  # a worker's later tasks go on with its pieces
 def tokenizer_of(definition: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
     """An encoder of texts from a tokenizer's JSON, and its vocabulary size."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
