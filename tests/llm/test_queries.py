@@ -40,7 +40,6 @@ def test_tokens_as_the_library(spark, small, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     want, start = {}, 0
     for d, text, _ in docs:
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
