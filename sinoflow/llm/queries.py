@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, quality, repeats, simhash, token_output, toxicity, url_filter
+from . import decontaminate, exact_dedup, licenses, mixing, quality, repeats, simhash, token_output, toxicity, url_filter
 from .training import fold
 
 
@@ -46,6 +46,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predicted(quality.quality(docs, table(spark, sf_dir, "labels"), fold(3) != 1), fold(3) == 1)
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op7_urls": op7_urls,
     "op8_tokens": op8_tokens,
