@@ -1,4 +1,4 @@
-"""What the operators share: the scratch tables in the cluster's shared folder, and row-wise keeping."""
+"""What the operators share: the scratch tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
@@ -66,15 +66,3 @@ def text_of(column: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each doc_id in ``ids`` (doc_id, rows: how many rows of docs have it).
-
-    Rows that share a doc_id are rare; only they are dealt out once more to leave one of them.
-    """
-    side = ids.select(F.col("doc_id").alias("_keep_id"), F.col("rows").alias("_keep_rows"))
-    found = docs.join(side, docs["doc_id"].eqNullSafe(side["_keep_id"]))
-    once = found.where("_keep_rows = 1").select(docs.columns)
-    again = found.where("_keep_rows > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again)

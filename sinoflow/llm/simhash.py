@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keep_rows
+from .common import Scratch
 from .components import components
 
 SEED = 42
@@ -118,8 +118,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> Data
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs``, all columns, that are left when one document (the least doc_id) of each component stays."""
-    found = Scratch(docs.sparkSession, "kept").save(near_duplicates(docs, words, hot), "members")
-    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    ids = found.where("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_d")
-    return keep_rows(docs, rows.join(ids, rows["doc_id"].eqNullSafe(ids["_d"])).select("doc_id", "rows"))
+    """The rows of ``docs``, all columns, that are left when one row of each component stays: the least doc_id's (null last), then the first.
+
+    Rows are numbered once, in a written table, and a component goes by its least row number, so neither null nor
+    repeated ids merge texts.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, hot)
+    members = found.select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_component"))
+    named = rows.select("_row", "doc_id").join(members, F.col("_row") == F.col("_of"))
+    first = named.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k"))
+    return rows.join(first.select(F.col("k._row").alias("_keep")), F.col("_row") == F.col("_keep"), "left_semi").select(docs.columns)
