@@ -22,6 +22,14 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("slice_id", "row_id", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("values"))
 
 
+def squared(df: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Zero-padded to a square of the next odd size, half before and half after; rows that a slice lacks are zeros too."""
+    n = max(rows, columns) | 1
+    wide = A.pad_columns(df, n - columns).select(F.col("slice_id").alias("s"), (F.col("row_id") + (n - rows) // 2).alias("r"), "values")
+    every = df.select("slice_id").distinct().select("slice_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("row_id"))
+    return every.join(wide, (F.col("slice_id") == F.col("s")) & (F.col("row_id") == F.col("r")), "left").select("slice_id", "row_id", F.coalesce("values", A.zeros(n)).alias("values"))
+
+
 def cells(df: DataFrame) -> DataFrame:
     c = A.to_cells(df)
     return c.select(*(F.col(k).cast("long").alias(k) for k in ("slice_id", "row_id", "col_id")), F.round("value", 5).alias("value"))
@@ -59,7 +67,7 @@ QUERIES = {
     "prior_gradient": _of(lambda d: A.prior_gradient(d, 10.0), volume),
     "backproject": _of(lambda d: T.backproject(A.drop_column(d))),
     "filtered_backproject": _of(lambda d: T.backproject(A.drop_column(d), filtered=True)),
-    "project": _of(lambda d: T.project(d.where("row_id < 15"), T.even_angles(12)), volume),
+    "project": _of(lambda d: T.project(squared(d, 16, 15), T.even_angles(12)), volume),
 }
 
 SINO = "WITH s AS (SELECT CAST(label AS BIGINT) AS slice_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
