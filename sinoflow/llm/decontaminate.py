@@ -11,7 +11,7 @@ is read once a block and the hits of a document are merged by its key.
 
 Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z lower-cased. Null or empty texts have
 no words and are clean; items without words have no windows. Repeated items count once by item_id; items whose id is
-null are ignored. Repeated documents get a row each. Further columns are ignored.
+null count as hits but are not named. Repeated documents get a row each. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def build_index(items: Iterable[tuple[int, bytes | None]], frequency: dict[bytes
     for item, text in items:
         for w in windows_of(words_of(text), window):
             k = min(range(len(w)), key=lambda i: (frequency.get(w[i], 0), w[i], i))
-            index.setdefault(w[k], {}).setdefault((k, len(w)), {}).setdefault(b" ".join(w), set()).add(item)
+            index.setdefault(w[k], {}).setdefault((k, len(w)), {}).setdefault(b" ".join(w), set()).update(() if item is None else (item,))
     return index
 
 
@@ -60,7 +60,7 @@ def find(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set[in
     for at in [k for k, w in enumerate(words) if w in index]:
         for (place, size), known in index[words[at]].items():
             start = at - place
-            if start >= 0 and start + size <= n and (of := known.get(b" ".join(words[start : start + size]))):
+            if start >= 0 and start + size <= n and (of := known.get(b" ".join(words[start : start + size]))) is not None:
                 spans.append((start, start + size))
                 items |= of
     return spans, items
@@ -99,7 +99,7 @@ SCANNED = "doc_id long, text_md5 string, n_words long, n_hit long, spans array<i
 def _indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[bool, object]]:
     """For each block of the benchmark: whether it is the last, and its broadcast index."""
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
