@@ -66,3 +66,14 @@ def text_of(column: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def kept(key, make):
+    """What ``make`` gives, made once in a Python process and then kept for later tasks. It needs no module of ours."""
+    import builtins
+
+    known = builtins.__dict__.setdefault("_kept_by_key", {})
+    if key not in known:
+        known.clear()
+        known[key] = make()
+    return known[key]

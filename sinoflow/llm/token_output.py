@@ -21,23 +21,23 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, text_of
+from .common import Scratch, kept, partitions, text_of
 
 MAGIC = b"TPK1"
 #: Ids after which a block is closed; a longer document has a block to itself.
 BLOCK_IDS = 1 << 16
-#: Pieces of text whose ids a task remembers.
-KNOWN_PIECES = 600_000
+#: Pieces of text whose ids a worker remembers.
+KNOWN_PIECES = 800_000
 NULL_ID = -(2**63)
 
 
@@ -91,61 +91,214 @@ class Block:
         return unpack(self.data, self.bits, 0, self.n_ids)
 
 
-def piecewise(encode_batch: Callable[[list[str]], list[list[int]]], special: list[str], most: int = KNOWN_PIECES) -> Callable[[list[str]], list[np.ndarray]]:
-    """An encoder of whole texts that remembers pieces, for byte-level BPE with the usual pre-tokenization.
-
-    That pre-tokenization never crosses from a non-space character into a following space, and of a run of white space
-    only the last space joins what follows. So a text may be cut before each single space between two other characters,
-    and the ids of the pieces, each with its space, are the ids of the text; the same holds between a letter and one
-    comma or full stop that ends a piece. Texts with other white space at a cut, or with a special token, are encoded
-    as a whole.
+class Pieces:
+    """Ids of pieces met lately, by their bytes: two generations, so the memory is bounded and what recurs stays."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = max(1, most // 2), {}, {}
+        self.room(0)
+
+    def room(self, n: int) -> None:
+        self.start, self.length, self.ids, self.n, self.used = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(4 * n, np.uint32), 0, 0
+
+    def places(self, pieces: list[bytes], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Each piece's place in ``start`` and ``length``; ``encode`` gives the ids and their number for those not known."""
+        if len(self.young) >= self.most:
+            self._age()
+        get, old = self.young.get, self.old.get
+        at = np.array([-1 if (k := get(p)) is None else k for p in pieces], np.int64)
+        miss = np.flatnonzero(at < 0)
+        if len(miss) and self.old:
+            back = [(int(i), k) for i in miss if (k := old(pieces[i])) is not None]
+            for i, k in back:
+                at[i] = self.young[pieces[i]] = k
+            miss = miss[at[miss] < 0]
+        if len(miss):
+            new = [pieces[i] for i in miss]
+            at[miss] = self._add(*encode(new))
+            self.young.update(zip(new, at[miss].tolist(), strict=True))
+        return at
+
+    def _add(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        n, used = self.n + len(length), self.used + len(ids)
+        if n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.start, self.length))
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(used, np.uint32)])
+        self.ids[self.used : used], self.length[self.n : n] = ids, length
+        self.start[self.n : n] = self.used + np.cumsum(length) - length
+        at = np.arange(self.n, n)
+        self.n, self.used = n, used
+        return at
+
+    def _age(self) -> None:
+        """The young become the old; what only the former old had goes."""
+        keep = np.fromiter(self.young.values(), np.int64, len(self.young))
+        names, length, ids = list(self.young), self.length[keep], gather(self.ids, self.start[keep], self.length[keep])
+        self.room(0)
+        self.old, self.young = dict(zip(names, self._add(ids, length).tolist(), strict=True)), {}
+
+
+def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """values[start[k] : start[k] + length[k]] of all k, one after the other."""
+    ends = np.cumsum(length)
+    return values[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class ByteLevel:
+    """An encoder of whole texts for byte-level BPE with the usual pre-tokenization, which cuts and remembers pieces.
+
+    A cut is made only where a pre-token ends whatever stands before it, so the ids of the pieces are the text's:
+    between letters, digits and other signs (not after an apostrophe, which may begin a contraction), before white
+    space that follows something else, before the last character of a run of white space, and after white space that
+    is not a space. What the classes of a character are is known for ASCII and for ``TRUSTED`` ranges; nothing is cut
+    beside other characters but before a space. A piece of known classes without an apostrophe is one pre-token, and
+    the library's BPE model takes many of them in one string, parted by blanks, in which a byte is its usual letter;
+    their ends are found from the ids' lengths. Other pieces go through the whole library one by one, as do texts with
+    a special token or unusual white space.
     """
-    known: dict[str, bytes] = {}
-
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(x, "<u4").tobytes() for x in encode_batch(texts)]
-
-    def cut(text: str) -> list[str] | None:
-        if any(s in text for s in special):
-            return None
-        first, *rest = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in rest) or (rest and (not first or first[-1].isspace())):
-            return None
-        out = [first]
-        for p in rest:
-            if p[-1] in ",." and len(p) > 1 and p[-2].isalpha():
-                out += [" " + p[:-1], p[-1]]
-            else:
-                out.append(" " + p)
-        return out
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        pieces = [cut(t) for t in texts]
-        new = list(dict.fromkeys(p for ps in pieces if ps for p in ps if p not in known))
-        if len(known) + len(new) > most:
-            known.clear()
-            new = list(dict.fromkeys(p for ps in pieces if ps for p in ps))
-        known.update(zip(new, ids(new), strict=True))
-        whole = iter(ids([t for t, ps in zip(texts, pieces, strict=True) if ps is None]))
-        get = known.__getitem__
-        return [np.frombuffer(next(whole) if ps is None else b"".join(map(get, ps)), "<u4") for ps in pieces]
-
-    return encode
-
-
-@lru_cache(maxsize=1)  # a worker's later tasks go on with its pieces
-def tokenizer_of(definition: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
+
+    #: Bytes of text that are cut at a time, a bound of memory; longer texts are cut between two words.
+    CHUNK = 4 << 20
+    LETTER, DIGIT, SIGN, SPACE, UNKNOWN = 1, 2, 4, 8, 16
+    #: Character ranges whose general category is old and settled.
+    TRUSTED = ((0xA1, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x400, 0x481), (0x48A, 0x513), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A))
+
+    def __init__(self, tokenizer, special: list[str], most: int) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        self.inner = Tokenizer(tokenizer.model)
+        self.inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token)
+        self.special = [s.encode() for s in special]
+        self.blank = np.zeros(256, bool)  # bytes that unusual white space may begin with
+        self.blank[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+        self.known = Pieces(most)
+        shown = [k for k in range(256) if 33 <= k <= 126 or (k >= 161 and k != 173)]
+        self.letter = np.arange(256, dtype="<u4")  # a byte's letter: itself where that can be printed, else one from 256 on
+        self.letter[[k for k in range(256) if k not in set(shown)]] = 256 + np.arange(256 - len(shown))
+        self.one = np.array([self._class(chr(k)) if k < 128 else self.UNKNOWN for k in range(256)], np.uint8)
+        self.two = np.full(1 << 16, self.UNKNOWN, np.uint8)
+        for lo, hi in self.TRUSTED:
+            for k in range(lo, hi + 1):
+                self.two[int.from_bytes(chr(k).encode(), "big")] = self._class(chr(k))
+
+    def _class(self, c: str) -> int:
+        import unicodedata
+
+        if c in " \t\n\r\v\f":
+            return self.SPACE
+        return {"L": self.LETTER, "N": self.DIGIT}.get(unicodedata.category(c)[0], self.SIGN)
+
+    def odd(self, data: np.ndarray, raw: bytes | memoryview) -> Iterator[int]:
+        """Places of special tokens and of unusual white space."""
+        for s in self.special:
+            yield from (m.start() for m in re.finditer(re.escape(s), raw))
+        at = np.flatnonzero(self.blank[data])
+        a, b, c = (data[np.minimum(at + k, len(data) - 1)] for k in range(3))
+        third = (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+        found = (a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & third | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        yield from at[found].tolist()
+
+    def cuts(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where pieces start, and the end; whether each is one pre-token for certain). Texts begin at ``starts``."""
+        kind = self.one[data]
+        lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0))
+        kind[lead] = kind[lead + 1] = self.two[data[lead].astype(np.int64) << 8 | data[lead + 1]]
+        before, after, space = kind[:-1], kind[1:], kind == self.SPACE
+        first = np.zeros(len(data) + 1, bool)
+        first[starts] = first[-1] = True
+        cut = (before != after) & ((before | after) < self.SPACE) & ~((data[:-1] == 39) & (after == self.LETTER))
+        cut |= space[1:] & ~space[:-1]
+        cut |= space[:-1] & ~space[1:] & (data[:-1] != 32)
+        last = np.zeros(len(data), bool)  # white space before something else in the same text
+        last[:-1] = space[:-1] & ~space[1:] & ~first[1:-1]
+        cut |= space[:-1] & last[1:]
+        first[1:-1] |= cut
+        at = np.flatnonzero(first)
+        unsure = np.concatenate([[0], np.cumsum((kind == self.UNKNOWN) | (data == 39))])
+        return at, unsure[at[1:]] == unsure[at[:-1]]
+
+    def _new(self, pieces: list[bytes], sure: dict[bytes, bool]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [p for p in pieces if sure[p]]
+        size = np.array([len(p) for p in plain], np.int64)
+        joined = self.letter[np.frombuffer(b"".join(plain), np.uint8)]
+        joined = np.insert(joined, np.cumsum(size)[:-1], 32) if plain else joined
+        got = [np.array(e.ids, np.uint32) for e in self.inner.encode_batch_fast([joined.tobytes().decode("utf-32-le")], add_special_tokens=False)]
+        ids = np.concatenate(got)
+        read, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(size)
+        stop = np.searchsorted(read, ends) + 1
+        if len(plain) and (read[-1] != ends[-1] or not np.array_equal(read[stop - 1], ends)):
+            raise ValueError("the tokenizer's vocabulary lacks a byte")
+        rest = dict(zip(other := [p for p in pieces if not sure[p]], self.whole([p.decode() for p in other]), strict=True))
+        length = np.empty(len(pieces), np.int64)
+        is_plain = np.fromiter((sure[p] for p in pieces), bool, len(pieces))
+        length[is_plain], length[~is_plain] = np.diff(stop, prepend=0), [len(x) for x in rest.values()]
+        every = np.concatenate([ids, np.array([k for x in rest.values() for k in x], np.uint32)])
+        start = np.empty(len(pieces), np.int64)
+        for own, base in ((is_plain, 0), (~is_plain, len(ids))):
+            start[own] = base + np.cumsum(length[own]) - length[own]
+        return gather(every, start, length), length
+
+    def _chunk(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids before each of ``starts``)."""
+        at, sure = self.cuts(data, starts)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        of, names = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
+        first = np.zeros(len(names), bool)
+        first[of] = sure  # the same piece is sure everywhere
+        place = self.known.places(names, lambda new, known=dict(zip(names, first.tolist(), strict=True)): self._new(new, known))[of]
+        length = self.known.length[place]
+        before = np.concatenate([[0], np.cumsum(length)])
+        return gather(self.known.ids, self.known.start[place], length), before[np.searchsorted(at, starts)]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null has none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        out: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+        k, lo, end = 0, int(offset[0]), int(offset[-1])
+        while lo < end:
+            k = int(np.searchsorted(offset, lo, "right")) - 1  # the text that lo lies in
+            stop = int(np.searchsorted(offset, lo + self.CHUNK, "right")) - 1
+            hi = int(offset[stop])
+            if hi <= lo:  # one long text: up to a blank between two words, or its end
+                stop, hi = k + 1, int(offset[k + 1])
+                found = re.compile(rb"[A-Za-z] [A-Za-z]").search(data, lo + self.CHUNK, hi)
+                hi = found.start() + 1 if found else hi
+            bounds = np.clip(offset[k : stop + 1], lo, hi) - lo
+            ids, before = self._chunk(data[lo:hi], bounds[:-1])
+            for j, (a, z) in enumerate(zip(before, [*before[1:], len(ids)], strict=True)):
+                if z > a:
+                    out[k + j].append(ids[a:z])
+            lo = hi
+        none = np.zeros(0, np.uint32)
+        got = [x[0] if len(x) == 1 else np.concatenate(x) if x else none for x in out]
+        own = data[offset[0] : end]
+        odd = sorted({int(np.searchsorted(offset, offset[0] + m, "right")) - 1 for m in self.odd(own, memoryview(own))})
+        for j, ids in zip(odd, self.whole([texts[j].as_py() for j in odd]), strict=True):
+            got[j] = np.array(ids, np.uint32)
+        return got
+
+
+def tokenizer_of(definition: str, most: int = KNOWN_PIECES) -> tuple[Callable[[pa.Array], list[np.ndarray]], int]:
     """An encoder of texts from a tokenizer's JSON, and its vocabulary size."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer, spec = Tokenizer.from_str(definition), json.loads(definition)
-    batch = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-    pre = spec.get("pre_tokenizer") or {}
-    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
-    if plain and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
-        return piecewise(batch, [t["content"] for t in spec.get("added_tokens", [])]), tokenizer.get_vocab_size(with_added_tokens=True)
-    return (lambda texts: [np.array(x, "<u4") for x in batch(texts)]), tokenizer.get_vocab_size(with_added_tokens=True)
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation")
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if plain and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+        return ByteLevel(tokenizer, [t["content"] for t in added], most), size
+    return (lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]), size
 
 
 BLOCKS = "shard int, block long, first long, n_ids long, payload binary"
@@ -161,7 +314,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, vocabulary = tokenizer_of(definition.value)
+        encoder, vocabulary = kept(("tokenizer", definition.value), lambda: tokenizer_of(definition.value))  # a worker's later tasks go on with its pieces
         bits, end = width(max(vocabulary, end_id + 1)), np.array([end_id], np.uint32)
         names, ids, held, first, k = [], [], 0, 0, 0
 
@@ -174,9 +327,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
 
         for b in batches:
             who = b.column(0).to_pylist()
-            for lo in range(0, len(who), 500):
-                texts = b.column(1)[lo : lo + 500].to_pylist()
-                for d, x in zip(who[lo : lo + 500], encoder(texts), strict=True):
+            for lo in range(0, len(who), 2000):
+                for d, x in zip(who[lo : lo + 2000], encoder(b.column(1)[lo : lo + 2000]), strict=True):
                     if held and held + len(x) + 1 > block_ids:
                         yield close()
                     names.append(d)
@@ -186,7 +338,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = ordered.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", F.xxhash64("text"))  # rows of one id, null among them, are dealt out by their texts
+    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     ordered.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
     shards = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
