@@ -6,7 +6,7 @@ from collections import Counter
 
 from sinoflow.llm import repeats
 
-DOCS = "doc_id long, text string, settled string"
+DOCS = "doc_id long, text string, s string"
 
 
 def brute(texts, length):
