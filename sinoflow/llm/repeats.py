@@ -30,6 +30,7 @@ be as long as a cell may be; runs of one character have an anchor at each byte.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,9 +248,10 @@ def _refined(lists: DataFrame, last: bool) -> DataFrame:
     return lists.select("row", "s").mapInArrow(run, SUFFIX)
 
 
-def _met_twice(df: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key other rows have too."""
-    return df.join(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key), [*key], "left_semi")
+def _met_twice(df: DataFrame, scratch: Scratch, *key: str) -> DataFrame:
+    """The rows whose key other rows have too. The keys are written first, so that the join's hot ones can be split."""
+    twice = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
+    return df.join(scratch.save(twice, "_".join(["twice", *key, uuid.uuid4().hex])), [*key], "left_semi")
 
 
 def _by_row(df: DataFrame, *columns: str) -> DataFrame:
@@ -284,7 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     suffixes, name = scratch.save(_anchors(rows, length), "bucket0"), "bucket0"
     for k in (1, 2, 3):
         columns = ("at", "nxt", "span", "name") if k < 3 else ("at", "span", "name")
-        lists = scratch.save(_by_row(_met_twice(suffixes, "name"), *columns), f"lists{k}")
+        lists = scratch.save(_by_row(_met_twice(suffixes, scratch, "name"), *columns), f"lists{k}")
         scratch.drop(name)
         if k < 3:
             suffixes, name = scratch.save(_refined(lists, k == 2), f"bucket{k}"), f"bucket{k}"
@@ -304,6 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = scratch.save(settled, "settled")
     scratch.drop("contexts")
     open_ = fine.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("name")
+    open_ = scratch.save(open_, "open")
     asked = scratch.save(_by_row(fine.join(open_, "name", "left_semi").select("first.*"), "at", "span"), "asked")
     scratch.drop("fine")
 
@@ -314,7 +317,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     told = scratch.save(_on_texts(rows, asked, "row long, at int, span int, block int, shared long, inside int, e1 long, e2 long", of_blocks), "blocks")
     scratch.drop("asked")
-    live = scratch.save(_met_twice(told, "shared"), "live")
+    live = scratch.save(_met_twice(told, scratch, "shared"), "live")
     scratch.drop("blocks")
     # Covers with how often each was met and one of its blocks; a cover that a text cuts off settles nothing.
     covers = live.where("inside = 1").groupBy("shared", "e1", "e2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "span", "block")).alias("first"))
@@ -324,6 +327,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = scratch.save(whole.select("row", begin.alias("lo"), (begin + step - 1 + length).alias("hi")), "whole")
     cut_off = live.where("inside = 0")
     unsettled = covers.where("n = 1").select("shared").unionByName(cut_off.select("shared")).distinct()
+    unsettled = scratch.save(unsettled, "unsettled")
     asked = covers.join(unsettled, "shared", "left_semi").select("first.*").unionByName(cut_off.select("row", "at", "span", "block"))
     asked = scratch.save(_by_row(asked, "at", "span", "block"), "asked2")
     for name in ("live", "covers"):
@@ -336,7 +340,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     each = scratch.save(_on_texts(rows, asked, "row long, lo int, e1 long, e2 long", of_strings), "strings")
     scratch.drop("asked2")
-    each = _met_twice(each, "e1", "e2").select("row", "lo", (F.col("lo") + length).alias("hi"))
+    each = _met_twice(each, scratch, "e1", "e2").select("row", "lo", (F.col("lo") + length).alias("hi"))
     spans = scratch.save(_by_row(settled.unionByName(whole).unionByName(each), "lo", "hi"), "spans")
     for name in ("settled", "whole", "strings"):
         scratch.drop(name)
