@@ -15,9 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (one machine, as in tests), one of our own is set."""
+    """The folder in spark.checkpoint.dir; where it is unset on one machine, as in tests, one of our own.
+
+    A cluster has no such folder of its own: there the setting is needed.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_sinoflow_shared", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sinoflow-")
         spark._sinoflow_shared = at
         Scratch.delete(spark, at, later=True)
@@ -76,6 +81,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

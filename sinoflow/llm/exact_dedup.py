@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, partitions, text_of
 
 #: Bytes of input files that one micro-batch takes.
-BATCH_BYTES = 64 << 30
+BATCH_BYTES = 8 << 30
 RESULT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -32,8 +32,9 @@ def sha256(text: Column) -> Column:
 def stream_state(spark: SparkSession, path: str, scratch: Scratch, digest=sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Runs the documents at ``path`` through the keyed state; returns the state: digest, keeper (doc_id, file, row), n.
 
-    The checkpoint makes it restartable: files that a finished micro-batch has taken are not read again.
+    Lost executors read the state again from the checkpoint; the checkpoint goes with the run.
     """
+    path = path.rstrip("/")
     conf = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -67,7 +68,8 @@ def stream_state(spark: SparkSession, path: str, scratch: Scratch, digest=sha256
 
 def located(docs: DataFrame, digest=sha256) -> DataFrame:
     """(digest, at): at is the row's identifier and locator."""
-    at = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = docs.metadataColumn("_metadata")  # the file source's, whatever columns there are
+    at = F.struct(F.col("doc_id").cast("long").alias("doc_id"), place["file_path"].alias("file"), place["row_index"].alias("row"))
     return docs.select(digest(text_of()).alias("digest"), at.alias("at"), text_of().alias("text"))
 
 

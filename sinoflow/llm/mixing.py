@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, text_of
+from .common import WORD, Scratch, free_name, text_of
 
 #: Units that one task moves together; a bound of memory, not of the result.
 BLOCK = 4096
 #: The weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 EPS = 1e-9
-UNITS = "doc_id long, source string, size long, base long, pi double"
+UNITS = "row long, doc_id long, digest long, source string, size long, base long, pi double"
 
 
 def size_of(text: str = "text") -> Column:
@@ -106,37 +106,51 @@ def coins(seed: str) -> Iterator[float]:
         yield r.random()
 
 
-def balance(units: DataFrame, level: int, blocks: Column, last: bool, seed: int) -> DataFrame:
-    """One round: each block of each source moves; in the last round there is one block a source, which is landed."""
-    block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), blocks.cast("long"))
+def balance(units: DataFrame, scratch: Scratch, level: int, blocks: Column, last: bool, most: int, seed: int) -> DataFrame:
+    """One round: each block of each source moves; in the last round there is one block a source, which is landed.
+
+    Blocks go by id, size and text. One that has over four times ``most`` units for all that (rows repeated as a whole)
+    is cut further by row number.
+    """
+    block = F.pmod(F.xxhash64("doc_id", "size", "digest", F.lit(seed + level)), blocks.cast("long"))
+    units = units.select("row", "doc_id", "digest", "source", "size", "base", "pi", block.alias("block"))
+    over = scratch.save(units.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * most), f"over{level}")
+    part = F.lit(0).cast("long")
+    if not last and not over.isEmpty():
+        over = over.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "n")
+        units = units.join(over, units["source"].eqNullSafe(over["_s"]) & (units["block"] == over["_b"]), "left")
+        part = F.coalesce(F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / most).cast("long")), F.lit(0))
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "pi"], ascending=[False, True, True], kind="stable", na_position="first")
-        where = f"{seed}/{level}/{pdf['source'].iloc[0]}/{pdf['block'].iloc[0]}"
+        pdf = pdf.sort_values(["size", "doc_id", "digest", "pi", "row"], ascending=[False, True, True, True, True], kind="stable", na_position="first")
+        where = f"{seed}/{level}/{pdf['source'].iloc[0]}/{pdf['block'].iloc[0]}/{pdf['part'].iloc[0]}"
         size = [float(x) for x in pdf["size"]]
         pi = flight([float(x) for x in pdf["pi"]], size, coins(where))
         pdf["pi"] = landing(pi, size) if last else pi
-        return pdf[["doc_id", "source", "size", "base", "pi"]]
+        return pdf[["row", "doc_id", "digest", "source", "size", "base", "pi"]]
 
-    return units.withColumn("block", block).groupBy("source", "block").applyInPandas(move, UNITS)
+    return units.withColumn("part", part.cast("long")).groupBy("source", "block", "part").applyInPandas(move, UNITS)
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken."""
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 11, row: str | None = None) -> DataFrame:
+    """One row a document: row, doc_id, source, size, source_size, target, copies (how often the mix takes it), taken.
+
+    ``row`` names a column of ``docs`` that tells rows apart; without one they are numbered here.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sizes = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size")), "sizes")
+    sizes = scratch.save(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("digest"), F.col("source").cast("string").alias("source"), size_of().alias("size")), "sizes")
     targets = scratch.save(source_targets(sizes, share, cap, weights), "targets")
     t = targets.select(F.col("source").alias("_s"), "source_size", "n_docs", "target")
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     units = sizes.join(t, sizes["source"].eqNullSafe(t["_s"])).withColumn("base", F.floor(rate)).withColumn("pi", rate - F.floor(rate))
     most = targets.agg(F.max("n_docs")).first()[0] or 0  # one number
     done, level = [], 0
-    left = -(-most // block)
+    left = -(-most // block)  # blocks of the largest source
     n = F.ceil(F.col("n_docs") / block)
     while True:
         last = left <= 1
-        moved = scratch.save(balance(units, level, F.lit(1) if last else n, last, seed), f"level{level}")
+        moved = scratch.save(balance(units, scratch, level, F.lit(1) if last else n, last, block, seed), f"level{level}")
         if last:
             done.append(moved)
             break
@@ -153,13 +167,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
         out = out.unionByName(more)
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     copies = (F.col("base") + F.col("pi")).cast("long")
-    return out.join(t, out["source"].eqNullSafe(t["_s"])).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.join(t, out["source"].eqNullSafe(t["_s"])).select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mixed`` takes it, columns unchanged."""
-    order = Window.partitionBy("doc_id")
-    side = mixed.select(F.col("doc_id").alias("_id"), "copies", F.row_number().over(order.orderBy("source", "size", "copies")).alias("_k"))
-    own = docs.withColumn("_row", F.row_number().over(order.orderBy("source", size_of())))
-    found = own.join(side, own["doc_id"].eqNullSafe(side["_id"]) & (own["_row"] == side["_k"])).where("copies > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+def take_copies(docs: DataFrame) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, columns unchanged. Rows are numbered once, in a written table."""
+    scratch, row = Scratch(docs.sparkSession, "taken"), free_name(docs, "row")
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = mix(rows, row=row).where("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("n"))
+    n = free_name(rows, "n")
+    return rows.join(scratch.save(taken.withColumnRenamed("n", n), "copies"), row).withColumn(n, F.explode(n)).select(docs.columns)

@@ -120,20 +120,20 @@ def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> Atten
 
 def quality(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) of every row of ``docs``; learnt from labels that ``keep`` allows."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, keep, sample))  # a few kB
-    return score_texts(docs, lambda texts: model.value.score(texts))
+    model = fit(docs, labels, keep, sample)  # a few kB; it goes with the function, by value
+    return score_texts(docs, lambda texts: model.score(texts))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, keep, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
     import pyarrow as pa
 
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, keep, sample))
+    model = fit(docs, labels, keep, sample)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            s = model.value.score([t or "" for t in b.column(at).cast(pa.large_string()).to_pylist()]) if b.num_rows else np.zeros(0)
+            s = model.score([t or "" for t in b.column(at).cast(pa.large_string()).to_pylist()]) if b.num_rows else np.zeros(0)
             yield b.filter(pa.array(s >= threshold))
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 from .components import components
 
 SEED = 42
@@ -124,9 +124,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFram
     repeated ids merge texts.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, hot)
-    members = found.select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_component"))
-    named = rows.select("_row", "doc_id").join(members, F.col("_row") == F.col("_of"))
-    first = named.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k"))
-    return rows.join(first.select(F.col("k._row").alias("_keep")), F.col("_row") == F.col("_keep"), "left_semi").select(docs.columns)
+    row = free_name(docs, "row")
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, hot).select(F.col("doc_id").alias(row), "component_id")
+    named = rows.select(row, F.col("doc_id").alias("id")).join(found, row)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("k"))
+    kept = scratch.save(first.select(F.col("k")[row].alias(row)), "kept")
+    return rows.join(kept, row, "left_semi").select(docs.columns)

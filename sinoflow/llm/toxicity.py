@@ -235,5 +235,5 @@ def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> Toxic
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) of every row of ``docs``; learnt from labels that ``keep`` allows."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, keep, sample))  # a few kB
-    return score_texts(docs, lambda texts: model.value.score(texts))
+    model = fit(docs, labels, keep, sample)  # a few kB; it goes with the function, by value
+    return score_texts(docs, lambda texts: model.score(texts))
