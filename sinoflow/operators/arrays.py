@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,37 @@ def fftshift(df: DataFrame) -> DataFrame:
     return _set(df, F.concat(F.slice(F.col("values"), half + 1, n), F.slice(F.col("values"), F.lit(1), half)))
 
 
+def ifftshift(df: DataFrame) -> DataFrame:
+    n = F.size("values")
+    half = F.floor(n / 2).cast("int")
+    return _set(df, F.concat(F.slice(F.col("values"), half + 1, n), F.slice(F.col("values"), F.lit(1), half)))
+
+
+def roll_image(df: DataFrame, by_rows: int, by_columns: int, rows: int) -> DataFrame:
+    """out[r, k] = in[(r + by_rows) mod rows, (k + by_columns) mod n]; ``rows`` is the number of rows of a slice."""
+    return roll(df, by_columns).withColumn("row_id", F.pmod(F.col("row_id") - by_rows, F.lit(rows)))
+
+
+def fftshift_image(df: DataFrame, rows: int) -> DataFrame:
+    """Both axes: place 0 goes to the middle."""
+    return roll_image(fftshift(df), -(-rows // 2), 0, rows)
+
+
+def ifftshift_image(df: DataFrame, rows: int) -> DataFrame:
+    """Both axes: the middle goes to place 0."""
+    return roll_image(ifftshift(df), rows // 2, 0, rows)
+
+
+def fill(df: DataFrame, value: float) -> DataFrame:
+    """``value`` at every place."""
+    return _set(df, F.array_repeat(F.lit(float(value)), F.size("values")))
+
+
+def element(df: DataFrame, slice_id: int, row_id: int, col_id: int) -> DataFrame:
+    """One row with one value (null beyond the columns); the filter reaches the scan."""
+    return df.where((F.col("slice_id") == slice_id) & (F.col("row_id") == row_id)).select(F.get("values", F.lit(col_id)).alias("value"))
+
+
 def pad_columns(df: DataFrame, padding: int, kind: str = SYMMETRIC) -> DataFrame:
     before = {SYMMETRIC: padding // 2, RIGHT: 0, LEFT: padding}[kind]
     return _set(df, F.concat(zeros(before), F.col("values"), zeros(padding - before)))
@@ -83,7 +115,7 @@ def crop_image(df: DataFrame, padding: int, rows: int, kind: str = SYMMETRIC) ->
 
 def recentre(df: DataFrame, columns: int, center: float) -> DataFrame:
     """Pads a sinogram and rolls its rotation axis to the middle column."""
-    off = (columns + 1) // 2 - round(center)
+    off = (columns + 1) // 2 - math.floor(center + 0.5)  # halves go up
     pad = max(int(0.42 * columns) // 2, abs(off))
     return roll(pad_columns(df, 2 * pad), off)
 
@@ -116,6 +148,36 @@ def each(df: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
     return _set(df, F.transform("values", of))
 
 
+def floor_at(df: DataFrame, least: float = 0.01) -> DataFrame:
+    return each(df, lambda v: F.greatest(v, F.lit(float(least))))
+
+
+def minus_log(df: DataFrame, least: float = 0.01) -> DataFrame:
+    """Line integrals from transmission, floored at ``least`` first."""
+    return each(df, lambda v: -F.ln(F.greatest(v, F.lit(float(least)))))
+
+
+def mean_row(df: DataFrame) -> DataFrame:
+    """(slice_id, values): each slice's rows averaged, as flat and dark frames are."""
+    means = to_cells(df).groupBy("slice_id", "col_id").agg(F.avg("value").alias("value"))
+    rows = means.groupBy("slice_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "value"))).alias("c"))
+    return rows.select("slice_id", F.transform("c", lambda c: c["value"]).alias("values"))
+
+
+def flat_dark(df: DataFrame, flat: DataFrame, dark: DataFrame) -> DataFrame:
+    """(v - dark) / (flat - dark); null where they are equal. ``flat`` and ``dark`` have a row a slice, as ``mean_row`` gives."""
+    frames = flat.select("slice_id", F.col("values").alias("_flat")).join(dark.select("slice_id", F.col("values").alias("_dark")), "slice_id")
+    above = lambda x, d: F.zip_with(x, d, lambda a, b: a - b)
+    met = df.join(frames, "slice_id")
+    return _set(met, F.zip_with(above("values", "_dark"), above("_flat", "_dark"), lambda a, b: F.try_divide(a, b)))
+
+
+def max_normalize(df: DataFrame) -> DataFrame:
+    """v / max over all elements; null where that is 0. The maximum is one broadcast row."""
+    top = df.agg(F.max(F.array_max("values")).alias("greatest"))
+    return df.crossJoin(F.broadcast(top)).select(*KEYS, F.transform("values", lambda v: F.try_divide(v, F.col("greatest"))).alias("values"))
+
+
 def ramp(df: DataFrame, cutoff: float = 1.0) -> DataFrame:
     """A centred spectrum times |k - n/2| / n below ``cutoff``, 1 above it."""
     n = F.size("values")
@@ -174,13 +236,36 @@ def from_cells(cells: DataFrame) -> DataFrame:
 WEIGHTS = (0.0523, 0.0370, 0.0302)
 
 
-def prior_gradient(df: DataFrame, sigma: float, p: float = 1.2, c: float = 0.001) -> DataFrame:
-    """Gradient of the 27-neighbour edge-preserving prior; edges repeat. Nine rows meet by a window over slices and rows."""
+def prior_slope(d: Column, sigma: float, p: float = 1.2, c: float = 0.001) -> Column:
+    """The prior's derivative at a difference ``d`` of neighbours."""
+    t = F.pow(F.abs(d) / sigma, F.lit(2 - p))
+    return F.when(d == 0, 0.0).otherwise(d / ((t + c) * sigma**2) * (2.0 - (2 - p) * t / (t + c)))
+
 
-    def slope(d: Column) -> Column:
-        t = F.pow(F.abs(d) / sigma, F.lit(2 - p))
-        return F.when(d == 0, 0.0).otherwise(d / ((t + c) * sigma**2) * (2.0 - (2 - p) * t / (t + c)))
+def prior_value(d: Column, sigma: float, p: float = 1.2, c: float = 0.001) -> Column:
+    """The prior itself at a difference ``d``."""
+    y = F.abs(d) / sigma
+    return y * y / (F.pow(y, F.lit(2 - p)) + c)
 
+
+def prior_curvature(sigma: float, c: float = 0.001) -> float:
+    """The prior's second derivative where neighbours are equal."""
+    return 2.0 / (sigma**2 * c)
+
+
+def weights() -> list[tuple[int, int, int, float]]:
+    """(slices, rows, columns away, weight) of the 26 neighbours."""
+    near = (-1, 0, 1)
+    return [(k, j, i, WEIGHTS[far - 1]) for k in near for j in near for i in near if (far := abs(k) + abs(j) + abs(i))]
+
+
+def add_curvature(df: DataFrame, sigma: float) -> DataFrame:
+    """The prior's curvature, summed over the neighbours, on top of a gradient."""
+    return each(df, lambda v: v + sum(w for *_, w in weights()) * prior_curvature(sigma))
+
+
+def prior_gradient(df: DataFrame, sigma: float, p: float = 1.2, c: float = 0.001) -> DataFrame:
+    """Gradient of the 27-neighbour edge-preserving prior; edges repeat. Nine rows meet by a window over slices and rows."""
     by_slice, by_row = Window.partitionBy("row_id").orderBy("slice_id"), Window.partitionBy("slice_id").orderBy("row_id")
     near = lambda x, w: (F.coalesce(F.lag(x).over(w), F.col(x)), F.col(x), F.coalesce(F.lead(x).over(w), F.col(x)))
     rows = df.select(*KEYS, "values", *(v.alias(f"s{k}") for k, v in enumerate(near("values", by_slice))))
@@ -195,7 +280,7 @@ def prior_gradient(df: DataFrame, sigma: float, p: float = 1.2, c: float = 0.001
                     far = abs(k - 1) + abs(j - 1) + abs(d)
                     if far:
                         place = F.least(F.greatest(i + d, F.lit(0)), n - 1)
-                        total = total + WEIGHTS[far - 1] * slope(v - F.get(F.col(f"n{k}{j}"), place))
+                        total = total + WEIGHTS[far - 1] * prior_slope(v - F.get(F.col(f"n{k}{j}"), place), sigma, p, c)
         return total
 
     return _set(rows, F.transform("values", at))

@@ -8,26 +8,32 @@ costs O(n^2 log n) where the direct sums cost O(P n^3).
 from __future__ import annotations
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .transforms import per_slice, polar
+from .gridding import Gridding
+from .transforms import DIRECT, EPS, STEP, per_slice, polar
 
-#: Polar samples whose waves are in memory at a time.
-STEP = 4096
 
-
-def transfer(theta, n: int) -> np.ndarray:
-    """The real FFT of the point spread over lags -(n-1)..(n-1) in both axes, lag 0 in the corner."""
+def point_spread(theta, n: int) -> np.ndarray:
+    """The waves of all samples summed, over lags -(n-1)..(n-1) in both axes."""
     m = 2 * n - 1
     x, y = polar(np.asarray(theta, float), n)
     lag = np.arange(m) - (n - 1)
+    if n >= DIRECT:
+        return Gridding(x, y, m, EPS).from_points(np.ones(len(x))).real
     spread = np.zeros((m, m))
     for k in range(0, len(x), STEP):
         ex, ey = (np.exp(1j * np.outer(v[k : k + STEP], lag)) for v in (x, y))
         spread += (ey.T @ ex).real
-    return np.fft.rfft2(np.fft.ifftshift(spread))
+    return spread
+
+
+def transfer(theta, n: int) -> np.ndarray:
+    """The real FFT of the point spread, lag 0 in the corner."""
+    return np.fft.rfft2(np.fft.ifftshift(point_spread(theta, n)))
 
 
 def convolve(image: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -37,22 +43,23 @@ def convolve(image: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return wide[:n, :n] / n**3
 
 
-def _shared(df: DataFrame, spread: np.ndarray):
-    return df.sparkSession.sparkContext.broadcast(spread)
+def _shared(df: DataFrame, spread):
+    """A broadcast of the transfer function; one that is already shared is used again."""
+    return spread if isinstance(spread, Broadcast) else df.sparkSession.sparkContext.broadcast(spread)
 
 
-def normal(images: DataFrame, spread: np.ndarray) -> DataFrame:
+def normal(images: DataFrame, spread) -> DataFrame:
     """The normal operator on each slice."""
     shared = _shared(images, spread)
     return per_slice(images, lambda x: convolve(x, shared.value))
 
 
-def gradient(images: DataFrame, back: DataFrame, spread: np.ndarray) -> DataFrame:
+def gradient(images: DataFrame, back: DataFrame, spread) -> DataFrame:
     """The data term's gradient, the back-projected sinogram subtracted."""
     return arrays.subtract(normal(images, spread), back)
 
 
-def misfit(images: DataFrame, back: DataFrame, spread: np.ndarray, norm: float) -> float:
+def misfit(images: DataFrame, back: DataFrame, spread, norm: float) -> float:
     """``norm`` (the sinogram's sum of squares) + sum of x * (T x - 2 b): the squared misfit without a projection."""
     terms = arrays.zip_arrays(normal(images, spread), back, lambda t, b: t - b * 2)
     inner = arrays.multiply(images, terms)

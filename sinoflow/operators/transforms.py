@@ -1,7 +1,8 @@
-"""Projection, back-projection and the iterative solver: Arrow-batched NumPy kernels over whole slices.
+"""Projection and back-projection: Arrow-batched NumPy kernels over whole slices.
 
-The non-uniform Fourier transform is summed directly, separated by axis (exact, O(rows * n^2) a slice and angle sample);
-a slice is the unit of work. The solver writes each iterate to the shared checkpoint folder and reads it back.
+A slice is the unit of work. Its non-uniform Fourier transform is gridded (``gridding``) to the tolerance ``EPS`` from
+``DIRECT`` columns on, in O(samples + n^2 log n); smaller ones are summed directly, separated by axis, in blocks of
+``STEP`` samples.
 """
 
 from __future__ import annotations
@@ -14,29 +15,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .gridding import Gridding
 
 ROWS = "slice_id int, row_id int, values array<double>"
 
 
+def grid(angles: DataFrame, n: int) -> DataFrame:
+    """(proj_id, col_id, x, y): the polar samples of ``angles`` (proj_id, theta), as native expressions."""
+    r = (F.col("col_id") - n // 2) * F.lit(2 * np.pi / (n - 1))
+    every = angles.select("proj_id", "theta", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("col_id"))
+    return every.select("proj_id", "col_id", (F.cos("theta") * r).alias("x"), (F.sin("theta") * r).alias("y"))
+
+
 def polar(theta: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     r = 2 * np.pi / (n - 1) * (np.arange(n) - n // 2)
     return np.outer(np.cos(theta), r).ravel(), np.outer(np.sin(theta), r).ravel()
 
 
-def _waves(theta: np.ndarray, n: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
+#: Columns from which transforms are gridded, to what tolerance, and samples of a direct sum that are in memory at a time.
+DIRECT, EPS, STEP = 128, 1e-12, 4096
+
+
+def _blocks(theta: np.ndarray, n: int, sign: int):
     x, y = polar(theta, n)
     k = np.arange(n) - n // 2
-    return np.exp(sign * 1j * np.outer(x, k)), np.exp(sign * 1j * np.outer(y, k))
+    for lo in range(0, len(x), STEP):
+        own = slice(lo, lo + STEP)
+        yield own, np.exp(sign * 1j * np.outer(x[own], k)), np.exp(sign * 1j * np.outer(y[own], k))
 
 
-def to_polar(image: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    ex, ey = _waves(theta, image.shape[1], -1)
-    return ((ey @ image) * ex).sum(1).reshape(len(theta), -1)
+def to_polar(image: np.ndarray, theta: np.ndarray, eps: float | None = None) -> np.ndarray:
+    """The image's Fourier transform at the polar samples, a row an angle. ``eps`` 0: summed directly."""
+    n = image.shape[1]
+    if n >= DIRECT and eps != 0:
+        return Gridding(*polar(theta, n), n, eps or EPS).to_points(image).reshape(len(theta), -1)
+    out = np.zeros(len(theta) * n, complex)
+    for own, ex, ey in _blocks(theta, n, -1):
+        out[own] = ((ey @ image) * ex).sum(1)
+    return out.reshape(len(theta), -1)
 
 
-def from_polar(spectrum: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    ex, ey = _waves(theta, spectrum.shape[1], 1)
-    return ey.T @ (spectrum.reshape(-1, 1) * ex)
+def from_polar(spectrum: np.ndarray, theta: np.ndarray, eps: float | None = None) -> np.ndarray:
+    """The adjoint: waves of all samples summed on the image's grid."""
+    n, values = spectrum.shape[1], spectrum.reshape(-1)
+    if n >= DIRECT and eps != 0:
+        return Gridding(*polar(theta, n), n, eps or EPS).from_points(values)
+    out = np.zeros((n, n), complex)
+    for own, ex, ey in _blocks(theta, n, 1):
+        out += ey.T @ (values[own, None] * ex)
+    return out
 
 
 def project_slice(image: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -91,31 +118,3 @@ def gradient(images: DataFrame, back: DataFrame, theta) -> DataFrame:
 
 def error(images: DataFrame, sino: DataFrame, theta) -> float:
     return arrays.squared_difference(project(images, theta), sino).first()[0] or 0.0
-
-
-def _along(a: DataFrame, b: DataFrame, by: float) -> DataFrame:
-    return arrays.zip_arrays(a, b, lambda x, y: x + y * by)
-
-
-def mbir(start: DataFrame, sino: DataFrame, theta, iterations: int, sigma: float, save: Callable[[DataFrame, str], DataFrame], p: float = 1.2) -> DataFrame:
-    """Backtracking accelerated descent on data fit and prior. ``save`` writes an iterate to shared storage and rereads it."""
-    n = start.first()["values"]
-    probe = normal_slice(np.ones((len(n), len(n))), np.asarray(theta, float))
-    first = min(1.0, 1 / probe.max())
-    back = save(backproject(sino, theta), "back")
-    x = sol = save(start, "start")
-    t = now = 1.0
-    for k in range(iterations):
-        step, trial = first, 0
-        while True:
-            beta = now * (1 / t - 1)
-            now = 0.5 * (np.sqrt(t**4 + 4 * t**2) - t**2)
-            y = sol if not beta or sol is x else _along(sol, arrays.subtract(sol, x), float(beta))
-            g = save(arrays.add(gradient(y, back, theta), arrays.prior_gradient(y, sigma, p)), f"g{k}-{trial}")
-            sol = save(_along(y, g, -float(step)), f"x{k}-{trial}")
-            bound = 0.5 * step * (g.agg(arrays.squares(g)).first()[0] or 0.0)
-            if not np.sqrt(error(sol, sino, theta)) > np.sqrt(error(y, sino, theta)) + bound:
-                break
-            step, trial = step * 0.9, trial + 1
-        t, x = now, sol
-    return x

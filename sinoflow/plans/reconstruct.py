@@ -79,7 +79,7 @@ def _moved(a: DataFrame, b: DataFrame, by: float) -> DataFrame:
 
 def solve(
     start: DataFrame, sino: DataFrame, theta, save: Save, iterations: int = 100, sigma: float = 100.0, p: float = 1.2,
-    tol: float = 1e-4, xtol: float = 1e-4, method: str = "toeplitz", early_stop: bool = False,
+    tol: float = 1e-4, xtol: float = 1e-4, method: str = "toeplitz", early_stop: bool = False, curvature: bool = False,
 ) -> Solved:
     """Backtracking descent on the misfit and the edge-preserving prior, with momentum on retried steps.
 
@@ -103,11 +103,15 @@ def solve(
 
     def slope(x: DataFrame) -> DataFrame:
         data = toeplitz.gradient(x, back, spread) if spread is not None else T.gradient(x, back, theta)
-        return A.add(data, A.prior_gradient(x, sigma, p))
+        steep = A.add(data, A.prior_gradient(x, sigma, p))
+        return A.add_curvature(steep, sigma) if curvature else steep
 
     full = _step(theta, n, spread)
+    if spread is not None:
+        spread = start.sparkSession.sparkContext.broadcast(spread)  # once for all iterations
     x = tried = save(start, "start")
     t = now = 1.0
+    known: dict[int, float] = {}  # the misfit of the last iterate, by its frame
     errors: list[float] = []
     for k in range(iterations):
         step, trial = full, 0
@@ -117,10 +121,11 @@ def solve(
             g = save(slope(y), f"g{k}-{trial}")
             tried = save(_moved(y, g, -step), f"x{k}-{trial}")
             error, slack = misfit(tried), 0.5 * step * (g.agg(A.squares(g)).first()[0] or 0.0)
-            if not error > misfit(y) + slack:
+            at_y = known.get(id(y))
+            if not error > (misfit(y) if at_y is None else at_y) + slack:
                 break
             step, trial = step * 0.9, trial + 1
-        t, before, x = now, x, tried
+        t, before, x, known = now, x, tried, {id(tried): error}
         errors.append(error)
         if early_stop:
             change, size = A.squared_difference(x, before).first()[0] or 0.0, x.agg(A.squares(x)).first()[0] or 0.0
@@ -133,9 +138,11 @@ def solve(
 
 def mbir(
     sino: DataFrame, theta, center: float, save: Save, iterations: int = 100, smoothness: float = 0.01, start: DataFrame | None = None,
-    tol: float = 1e-4, xtol: float = 1e-4, method: str = "toeplitz", early_stop: bool = False,
+    tol: float = 1e-4, xtol: float = 1e-4, method: str = "toeplitz", early_stop: bool = False, scale: str = "max",
 ) -> Solved:
-    """Model-based reconstruction: the sinogram is divided by its maximum, centred, padded, solved and cropped.
+    """Model-based reconstruction: the sinogram is scaled, centred, padded, solved and cropped.
+
+    ``scale`` "max" divides the sinogram by its maximum; "minmax" takes its range to 0..1.
 
     ``smoothness`` is 1 / sigma of the prior. Without ``start`` the solver begins at the filtered back-projection of the
     sinogram as it came, neither centred nor padded; either is padded with zeros to the solver's width. A
@@ -150,7 +157,9 @@ def mbir(
     if top <= 0:
         blank = start if start is not None else A.each(T.backproject(odd, theta), lambda v: v * 0.0)
         return Solved(blank, [], "empty")
-    scaled = save(A.each(odd, lambda v: v / F.lit(float(top))), "scaled")
+    if scale not in ("max", "minmax"):
+        raise ValueError("scale is max or minmax")
+    scaled = save(A.each(odd, lambda v: v / F.lit(float(top))) if scale == "max" else A.normalize(odd), "scaled")
     padded = save(A.recentre(scaled, n, center), "padded")
     first = T.backproject(scaled, theta, True) if start is None else start
     first = A.pad_image(first, _width(padded) - n, n)
