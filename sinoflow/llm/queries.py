@@ -47,7 +47,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("licenses", F.concat_ws(",", "licenses"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,27 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 
+def _license_sql() -> str:
+    """The licence scan without its pruning: every unit against every template."""
+    words = "regexp_extract_all(replace(lower({}), 'licence', 'license'), '[a-z0-9]+')".format
+    pairs = "list_distinct(list_transform(generate_series(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1]))".format
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    lines, ends = r"'[\r\n]+'", r"regexp_replace(t, '([.;:!?])[ \t\n\x0B\f\r]+', E'\\1\n', 'g')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+        u AS (SELECT k, unnest(list_distinct(list_concat(list_concat(regexp_split_to_array(t, {lines}), regexp_split_to_array({ends}, {lines})),
+                     list_concat(regexp_split_to_array(t, '(?:\\r?\\n[ \\t]*){{2,}}'), [t])))) AS u FROM d),
+        w AS (SELECT DISTINCT k, {words("u")} AS w FROM u),
+        a AS (SELECT k, {pairs("w")} AS a FROM w WHERE len(w) > 1),
+        tw AS (SELECT name, {words("t")} AS w FROM (VALUES {rows}) AS x(name, t)),
+        b AS (SELECT name, {pairs("w")} AS b FROM tw),
+        m AS (SELECT k, a, max({{'score': 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 'name': name}}) AS best FROM a CROSS JOIN b
+              WHERE len(a) BETWEEN len(b) * {licenses.DICE / (2 - licenses.DICE)} - 1e-9 AND len(b) * {(2 - licenses.DICE) / licenses.DICE} + 1e-9 GROUP BY k, a),
+        f AS (SELECT k, max(best) AS best, array_to_string(list_sort(list_distinct(list(best.name))), ',') AS names FROM m WHERE best.score >= {licenses.DICE} GROUP BY k)
+        SELECT d.doc_id, f.best.name AS license, coalesce(CAST(f.best.score AS DOUBLE), 0.0) AS score, coalesce(f.names, '') AS licenses FROM d LEFT JOIN f ON d.k = f.k
+    """
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
@@ -112,4 +133,5 @@ ORACLE_SQL = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
     """,
+    "op5_licenses": _license_sql(),
 }
