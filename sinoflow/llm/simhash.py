@@ -34,6 +34,8 @@ WORDS = 3
 RADIUS = 3
 #: Fingerprints under one segment value beyond which points take the place of pairs.
 HOT = 512
+#: Sketches under one segment value beyond which some of them stand for all, and how many do.
+CROWD, CENTRES = 64, 16
 #: Hashes that are counted at a time, a bound of memory for long texts.
 STEP = 1 << 16
 
@@ -117,17 +119,85 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> Data
     return own.join(named, own["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs``, all columns, that are left when one row of each component stays: the least doc_id's (null last), then the first.
+def sketch(text: bytes, words: int, lanes: int, seed: int = SEED) -> np.ndarray:
+    """``lanes`` fingerprints of 64 bits of the *set* of a text's shingles, by different hashes; zeros without words."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(lanes, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    shingles = zip(*(w[k:] for k in range(words)), strict=False) if len(w) >= words else iter([tuple(w)])
+    first = np.unique(np.fromiter((digest(join(s), seed) for s in shingles), np.uint64, max(1, len(w) - words + 1)))
+    out = np.zeros(lanes, np.uint64)
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(first), STEP):
+            h = (first[k : k + STEP] ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            ones += np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[lane] = int.from_bytes(np.packbits(2 * ones > len(first), bitorder="little").tobytes(), "little")
+    return out
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits to expect of two sets of that Jaccard similarity and one size: their angle's share of the bits."""
+    return int(np.ceil(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def sketches(rows: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(row, f0, f1, ...) of ``rows`` (row, text)."""
+    schema = ", ".join(["row long", *(f"f{k} long" for k in range(lanes))])
 
-    Rows are numbered once, in a written table, and a component goes by its least row number, so neither null nor
-    repeated ids merge texts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.array([sketch(t or b"", words, lanes) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(lanes))], ["row", *(f"f{k}" for k in range(lanes))])
+
+    return rows.mapInArrow(run, schema)
+
+
+def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: int = CROWD, centres: int = CENTRES) -> DataFrame:
+    """(u, v): links between sketches ``groups`` (gid, f0, f1, ...) that differ in ``most`` bits or fewer of all.
+
+    Multi-index hashing over 2 * ``lanes`` segments of 32 bits with balls of radius 1: every pair within 4 * lanes - 1
+    bits is looked at, pairs further apart as often as one of their segments is near. Of an entry of over ``crowd``
+    sketches ``centres`` stand for all, so rows grow with the members: who is near no centre is linked by other tables.
+    """
+    own = [f"f{k}" for k in range(lanes)]
+    low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftrightunsigned(c, 32)
+    halves = F.array(*(F.struct(F.lit(2 * k + j).alias("seg"), half(c).alias("key")) for k, c in enumerate(own) for j, half in enumerate((low, high))))
+    table = scratch.save(groups.select("gid", *own, F.inline(halves)), "entries")
+    crowded = scratch.save(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("seg", "key"), "crowded")
+    probe = F.concat(F.array(F.col("key")), F.transform(F.filter(_bits(), lambda j: F.getbit("key", j) == 0), lambda j: _flip(F.col("key"), j)))
+    probes = table.select(F.col("gid").alias("by"), "seg", F.col("key").alias("at"), F.explode(probe).alias("key"))
+    cold = scratch.save(table.join(crowded, ["seg", "key"], "left_anti"), "cold")
+    met = cold.join(probes, ["seg", "key"]).where("at != key or by < gid").select("by", "gid", *own)
+    chosen = table.join(crowded, ["seg", "key"], "left_semi").groupBy("seg", "key", F.pmod(F.xxhash64("gid"), F.lit(centres))).agg(F.min(F.struct("gid", *own)).alias("c"))
+    chosen = scratch.save(chosen.select("seg", "key", "c.*"), "centres")
+    met = met.unionByName(chosen.join(probes, ["seg", "key"]).where("by != gid").select("by", "gid", *own))
+    met = scratch.save(met, "met")
+    others = groups.select(F.col("gid").alias("by"), *(F.col(c).alias(f"g{k}") for k, c in enumerate(own)))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"g{k}"))) for k, c in enumerate(own)), F.lit(0))
+    found = met.join(others, "by").where(apart <= most).select(F.col("by").alias("u"), F.col("gid").alias("v")).distinct()
+    return found
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, crowd: int = CROWD) -> DataFrame:
+    """The rows of ``docs``, all columns, that are left when one row of each group of near duplicates stays.
+
+    Near are texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, as 64 *
+    ``lanes`` bits tell it; a group is a component of such links. The least doc_id stays (null last), then the first row.
+    Texts without words are near each other. Rows are numbered once, in a written table, and go by number, so neither
+    null nor repeated ids merge texts. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    row = free_name(docs, "row")
+    row, own = free_name(docs, "row"), [f"f{k}" for k in range(lanes)]
     rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, hot).select(F.col("doc_id").alias(row), "component_id")
-    named = rows.select(row, F.col("doc_id").alias("id")).join(found, row)
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("k"))
+    marked = scratch.save(sketches(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), words, lanes), "sketches")
+    groups = scratch.save(marked.groupBy(*own).agg(F.min("row").alias("gid")), "groups")
+    linked = components(similar(groups, lanes, most_bits(similarity, 64 * lanes), scratch, crowd), scratch).withColumnRenamed("node", "gid")
+    named = scratch.save(groups.join(linked, "gid", "left").select(*own, F.coalesce("component", "gid").alias("component")), "named")
+    members = marked.join(named, own).select(F.col("row").alias(row), "component")
+    places = rows.select(row, F.col("doc_id").alias("id")).join(members, row)
+    first = places.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("k"))
     kept = scratch.save(first.select(F.col("k")[row].alias(row)), "kept")
     return rows.join(kept, row, "left_semi").select(docs.columns)

@@ -80,8 +80,10 @@ def test_simhash(spark, odd):
             comp = [min(comp[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
         least = {c: min((ROWS[i][0] for i in range(len(fps)) if comp[i] == c and ROWS[i][0] is not None), default=None) for c in comp}
         assert got == Counter((d, f, least[c]) for (d, *_), f, c in zip(ROWS, fps, comp, strict=True))
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and kept.count() == len(set(comp)) and {r["row"] for r in kept.collect()} == {"own row"}
+    for crowd in (1, 64):
+        kept = simhash.one_of_each(odd, crowd=crowd)
+        assert kept.columns == odd.columns and {r["row"] for r in kept.collect()} == {"own row"}
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, B), (1, A), (2, ""), (4, LONG)]
     assert simhash.one_of_each(odd.limit(0)).count() == 0
 
 

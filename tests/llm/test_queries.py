@@ -1,5 +1,6 @@
 """Registered queries against their SQL or plain versions on the smallest tables."""
 
+import random
 import zlib
 
 import duckdb
@@ -64,8 +65,47 @@ def test_mix_meets_targets(spark, small, docs):
 
 def test_pipeline_keeps_document_columns(spark, small):
     docs = queries.table(spark, small, "documents")
-    kept = corpus_pipeline.decontaminated(spark, corpus_pipeline.near_dedup(spark, docs, small), small)
+    one = corpus_pipeline.near_dedup(spark, docs, small)
+    kept = corpus_pipeline.decontaminated(spark, one, small)
     assert kept.columns == docs.columns
-    comp = {r["doc_id"]: r["component_id"] for r in queries.op4_simhash(spark, small).collect()}
     bad = {r["doc_id"] for r in queries.op2_decontaminate(spark, small).collect() if r["contaminated"]}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, c in comp.items() if d == c and d not in bad)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in one.collect() if r["doc_id"] not in bad)
+
+
+def shingles(text, words=5):
+    w = text.encode().lower().split()
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_near_dedup_as_all_pairs(spark):
+    """Against Jaccard similarity by brute force: clear copies go, the rest stays, and so do texts that are alike in words only."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8)))
+    base, texts = [[word() for _ in range(r.randint(60, 400))] for _ in range(30)], []
+    for b in base:
+        texts.append(" ".join(b))
+        for edits in (0, 1, 2, len(b) // 8, len(b) // 3):
+            c = list(b)
+            for k in r.sample(range(len(c)), edits):
+                c[k] = word()
+            texts.append(" ".join(c))
+        texts.append(" ".join(r.sample(b, len(b))))
+    hot = [word() for _ in range(150)]
+    texts += [" ".join([*hot[:k], word(), *hot[k:]]) for k in range(150)]  # one group of near copies
+    sets = [shingles(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    alike = [(a, b, s) for b in range(len(texts)) for a in range(b) if (s := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.7]
+
+    def dropped(least):
+        root = list(range(len(texts)))
+        for a, b, s in alike:
+            if s >= least:
+                x, y = root[a], root[b]
+                root = [min(x, y) if v in (x, y) else v for v in root]
+        return {k for k, v in enumerate(root) if k != v}
+
+    for crowd in (20, 64):
+        gone = set(range(len(texts))) - {x["doc_id"] for x in simhash.one_of_each(df, crowd=crowd).collect()}
+        assert gone <= dropped(0.7)
+        for least, share in ((0.95, 0.98), (0.9, 0.9)):
+            assert len(dropped(least) & gone) >= share * len(dropped(least))
