@@ -36,7 +36,10 @@ class Scratch:
     still reads goes when the driver's process ends.
     """
 
+    made: list[Scratch] = []  # of this process, for those who know when what they hold has been read
+
     def __init__(self, spark: SparkSession, what: str) -> None:
+        self.made.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/sinoflow-{what}-{uuid.uuid4().hex}"
         self.delete(spark, self.root, later=True)

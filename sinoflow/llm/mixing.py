@@ -173,7 +173,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
 def take_copies(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, columns unchanged. Rows are numbered once, in a written table."""
     scratch, row = Scratch(docs.sparkSession, "taken"), free_name(docs, "row")
-    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = scratch.save_bucketed(docs.withColumn(row, F.monotonically_increasing_id()), "rows", row)
     taken = mix(rows, row=row).where("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("n"))
     n = free_name(rows, "n")
     return rows.join(scratch.save(taken.withColumnRenamed("n", n), "copies"), row).withColumn(n, F.explode(n)).select(docs.columns)

@@ -35,7 +35,7 @@ RADIUS = 3
 #: Fingerprints under one segment value beyond which points take the place of pairs.
 HOT = 512
 #: Sketches under one segment value beyond which some of them stand for all, and how many do.
-CROWD, CENTRES = 64, 16
+CROWD, CENTRES = 8, 4
 #: Hashes that are counted at a time, a bound of memory for long texts.
 STEP = 1 << 16
 
@@ -177,8 +177,7 @@ def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: i
     met = scratch.save(met, "met")
     others = groups.select(F.col("gid").alias("by"), *(F.col(c).alias(f"g{k}") for k, c in enumerate(own)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"g{k}"))) for k, c in enumerate(own)), F.lit(0))
-    found = met.join(others, "by").where(apart <= most).select(F.col("by").alias("u"), F.col("gid").alias("v")).distinct()
-    return found
+    return met.join(others, "by").where(apart <= most).select(F.col("by").alias("u"), F.col("gid").alias("v")).distinct()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, crowd: int = CROWD) -> DataFrame:
@@ -191,13 +190,17 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     """
     scratch = Scratch(docs.sparkSession, "kept")
     row, own = free_name(docs, "row"), [f"f{k}" for k in range(lanes)]
-    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = scratch.save_bucketed(docs.withColumn(row, F.monotonically_increasing_id()), "rows", row)
     marked = scratch.save(sketches(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), words, lanes), "sketches")
     groups = scratch.save(marked.groupBy(*own).agg(F.min("row").alias("gid")), "groups")
-    linked = components(similar(groups, lanes, most_bits(similarity, 64 * lanes), scratch, crowd), scratch).withColumnRenamed("node", "gid")
+    work = Scratch(docs.sparkSession, "links")
+    linked = components(similar(groups, lanes, most_bits(similarity, 64 * lanes), work, crowd), work).withColumnRenamed("node", "gid")
     named = scratch.save(groups.join(linked, "gid", "left").select(*own, F.coalesce("component", "gid").alias("component")), "named")
+    work.drop("")
     members = marked.join(named, own).select(F.col("row").alias(row), "component")
     places = rows.select(row, F.col("doc_id").alias("id")).join(members, row)
     first = places.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("k"))
     kept = scratch.save(first.select(F.col("k")[row].alias(row)), "kept")
+    for name in ("sketches", "groups", "named"):
+        scratch.drop(name)
     return rows.join(kept, row, "left_semi").select(docs.columns)

@@ -37,7 +37,7 @@ MAGIC = b"TPK1"
 #: Ids after which a block is closed; a longer document has a block to itself.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 250_000
 NULL_ID = -(2**63)
 
 
@@ -159,7 +159,7 @@ class ByteLevel:
     """
 
     #: Bytes of text that are cut at a time, a bound of memory; longer texts are cut between two words.
-    CHUNK = 2 << 20
+    CHUNK = 1 << 20
     LETTER, DIGIT, SIGN, SPACE, UNKNOWN = 1, 2, 4, 8, 16
     #: Character ranges whose general category is old and settled.
     TRUSTED = ((0xA1, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x400, 0x481), (0x48A, 0x513), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A))
