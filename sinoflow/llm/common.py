@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +98,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Batches that plans run in here send to Python workers end once they hold ``size`` bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(size, int(before.rstrip("b"))) if before.rstrip("b").isdigit() else size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def kept(key, make):
     """What ``make`` gives, made once in a Python process and then kept for later tasks. It needs no module of ours."""
     import builtins

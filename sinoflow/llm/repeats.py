@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, arrow_bytes, text_of
 
 LENGTH = 400
 #: Bytes at a start position whose hash decides which is an anchor, at most.
@@ -48,6 +48,8 @@ HEAD = 12
 SEGMENT = 1 << 20
 #: Rows of a batch that tasks send on.
 BATCH = 1 << 16
+#: Bytes of texts and lists that a worker is sent at a time, a single row apart.
+BATCH_BYTES = 2 << 20
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xD6E8FEB86659FD93))
 
 
@@ -277,6 +279,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, doc_id, text, s): each row with the spans (lo, hi) that repeated strings cover, null where there are none."""
     if length < 8:
         raise ValueError("strings of 8 bytes at least")
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        return _spans(docs, length)
+
+
+def _spans(docs: DataFrame, length: int) -> DataFrame:
     window, _, step = shape(length)
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
