@@ -5,8 +5,8 @@ digest ever seen and never expires: the stable identifier (largest doc_id so far
 index) of that document, and how many rows had the digest. Spark's partial aggregation meets copies before they are
 dealt out, so a text that makes up a third of all rows reaches its state as one row a task.
 
-A digest with more than one row is a hit: its texts are then compared byte for byte (least and greatest text of the
-digest are equal only if all are). Should they differ, the digest's rows are grouped by their texts instead.
+A digest's texts are then compared byte for byte: a digest with more than one distinct text is a clash, and its rows
+are grouped by their texts instead. Each task deals out one copy of each text it has.
 
 Null text counts as empty. Of equal texts the largest doc_id stays; among repeated rows of that id the last in
 (file, row) order stays, so one row of each group does. A null doc_id is below all others. An empty table gives an
@@ -81,8 +81,8 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, batch_bytes: int
     scratch = Scratch(spark, "exact")
     state = scratch.save(stream_state(spark, path, scratch, digest, batch_bytes), "keys")
     docs = located(spark.read.parquet(path), digest)
-    texts = docs.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"), F.count(F.lit(1)).alias("n"))
-    clash = scratch.save(texts.where("n > 1 and least != greatest").select("digest"), "clashes")
+    texts = docs.select("digest", "text").distinct()  # a task's copies go on as one
+    clash = scratch.save(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "clashes")
     rows = docs.select("digest", "at", sha256(F.col("text")).alias("text_sha256"))
     if clash.isEmpty():
         same = rows.join(state, "digest")
