@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept, partitions, text_of
+from .common import Scratch, arrow_bytes, kept, partitions, text_of
 
 MAGIC = b"TPK1"
 #: Ids after which a block is closed; a longer document has a block to itself.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 500_000
+#: Bytes of texts that a worker is sent at a time, a single text apart.
+BATCH_BYTES = 8 << 20
 NULL_ID = -(2**63)
 
 
@@ -159,7 +161,7 @@ class ByteLevel:
     """
 
     #: Bytes of text that are cut at a time, a bound of memory; longer texts are cut between two words.
-    CHUNK = 1 << 20
+    CHUNK = 2 << 20
     LETTER, DIGIT, SIGN, SPACE, UNKNOWN = 1, 2, 4, 8, 16
     #: Character ranges whose general category is old and settled.
     TRUSTED = ((0xA1, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x400, 0x481), (0x48A, 0x513), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A))
@@ -340,7 +342,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = ("doc_id", F.xxhash64("text"))  # rows of one id, null among them, are dealt out by their texts
     ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
+    with arrow_bytes(spark, BATCH_BYTES):
+        ordered.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
     shards = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
     shards.select("shard", "n_ids", before.alias("before")).write.parquet(f"{path}/shards")
