@@ -46,6 +46,9 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/sinoflow-{what}-{uuid.uuid4().hex}"
         self.delete(spark, self.root, later=True)
 
+    def __getstate__(self) -> dict:
+        return {"root": self.root}  # workers have no session
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
