@@ -1,6 +1,6 @@
 """Connected components of a link table by alternating large and small stars (Kiveris et al. 2014), on DataFrames.
 
-Nothing is collected but one count and one checksum a round. A node of many links is no bottleneck: its least neighbour
+Nothing is collected or broadcast but one count and one checksum a round. A node of many links is no bottleneck: its least neighbour
 is found by partial aggregation, and the join that tells its neighbours is a plain equi-join that can be split.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, merged_with
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else edges
     least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-    told = near.join(least, near["u"] == least["n"])
+    least = least.withColumn("n", F.col("n").bitwiseXOR(F.lit(0).cast("long")))  # dealt out anew: else the join takes the sum's places, which can't be split
+    told = merged_with(near, least, near["u"] == least["n"])
     if large:
         out = told.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

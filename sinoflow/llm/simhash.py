@@ -9,7 +9,7 @@ Copies collapse into one fingerprint first. A table entry with more than ``hot``
 in pairs: there each fingerprint is joined to points near its other segment, with radius 1 and with radius 2 (two
 fingerprints are 3 apart at most if some point is 1 from the one and 2 from the other), and everything around a point
 that has a radius-1 member is linked to one of these. So the rows grow with the members, not with their square, and no
-link between groups is lost.
+link between groups is lost. No join of these is broadcast, so the driver holds nothing that grows with the corpus.
 
 A null text counts as empty. Texts without words have fingerprint zero and are linked like any other. Repeated rows and
 ids are rows of their own; a null doc_id is ignored as a component's name unless its whole component has none. An empty
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name
+from .common import Scratch, free_name, merged_with
 from .components import components
 
 SEED = 42
@@ -90,20 +90,20 @@ def links(fps: DataFrame, hot: int = HOT, scratch: Scratch | None = None) -> Dat
     on = (F.col("seg") == F.col("pseg")) & (F.col("key") == F.col("pkey"))
     near = (_differ("fp", "pfp") <= RADIUS) & ((F.col("own") != F.col("key")) | (F.col("fp") < F.col("pfp")))
     if counts.isEmpty():
-        return table.join(probes, on & near).select(F.col("fp").alias("u"), F.col("pfp").alias("v"))
+        return merged_with(table, probes, on & near).select(F.col("fp").alias("u"), F.col("pfp").alias("v"))
     h = counts.select(F.col("seg").alias("hseg"), F.col("key").alias("hkey"))
-    cold = table.join(h, (F.col("seg") == F.col("hseg")) & (F.col("key") == F.col("hkey")), "left_anti")
-    pairs = cold.join(probes, on & near).select(F.col("fp").alias("u"), F.col("pfp").alias("v"))
+    cold = merged_with(table, h, (F.col("seg") == F.col("hseg")) & (F.col("key") == F.col("hkey")), "left_anti")
+    pairs = merged_with(cold, probes, on & near).select(F.col("fp").alias("u"), F.col("pfp").alias("v"))
     # Hot entries: role 1 is at a point within one bit, role 2 within two. A probe from one bit off may be one bit off more.
     ball1 = lambda c: F.concat(F.array(c), F.transform(_bits(), lambda j: _flip(c, j)))
     two = F.flatten(F.transform(_bits(), lambda i: F.transform(F.filter(_bits(), lambda j: j > i), lambda j: _flip(_flip(F.col("pother"), i), j))))
-    mine = probes.join(h, (F.col("pseg") == F.col("hseg")) & (F.col("pkey") == F.col("hkey")), "left_semi")
+    mine = merged_with(probes, h, (F.col("pseg") == F.col("hseg")) & (F.col("pkey") == F.col("hkey")), "left_semi")
     exact = mine.where("own = pkey")
     point = lambda df, role, at: df.select("pseg", "pkey", F.col("pfp").alias("fp"), F.lit(role).alias("role"), F.explode(at).alias("z"))
     one = point(exact, 1, ball1(F.col("pother")))
     around = one.unionByName(point(exact, 2, two)).unionByName(point(mine.where("own != pkey"), 3, ball1(F.col("pother"))))
     centre = one.groupBy("pseg", "pkey", "z").agg(F.min("fp").alias("c")).select(F.col("pseg").alias("s"), F.col("pkey").alias("k"), F.col("z").alias("cz"), "c")
-    stars = around.join(centre, (F.col("pseg") == F.col("s")) & (F.col("pkey") == F.col("k")) & (F.col("z") == F.col("cz"))).where("fp != c")
+    stars = merged_with(around, centre, (F.col("pseg") == F.col("s")) & (F.col("pkey") == F.col("k")) & (F.col("z") == F.col("cz"))).where("fp != c")
     return pairs.unionByName(stars.select(F.col("c").alias("u"), F.col("fp").alias("v"))).distinct()
 
 
@@ -113,10 +113,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> Data
     own = scratch.save(fingerprints(docs, words), "fingerprints")
     groups = scratch.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     linked = components(links(groups.select("fp"), hot, scratch), scratch).withColumnRenamed("node", "_fp")
-    named = groups.join(linked, groups["fp"] == linked["_fp"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = merged_with(groups, linked, groups["fp"] == linked["_fp"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.save(named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id"), "named")
-    return own.join(named, own["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    named = scratch.save(merged_with(named, least, "component").select(F.col("fp").alias("_fp"), "component_id"), "named")
+    return merged_with(own, named, own["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
 
 
 def sketch(text: bytes, words: int, lanes: int, seed: int = SEED) -> np.ndarray:
