@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, merged_with
+from .common import Scratch, arrow_bytes, free_name, merged_with
 from .components import components
 
 SEED = 42
@@ -34,8 +34,12 @@ WORDS = 3
 RADIUS = 3
 #: Fingerprints under one segment value beyond which points take the place of pairs.
 HOT = 512
-#: Sketches under one segment value beyond which some of them stand for all, and how many do.
+#: Sketches under one segment value beyond which some of them are met first, and how many are.
 CROWD, CENTRES = 8, 4
+#: Sketches of a crowded entry that are compared with as many others in one go, and how many of these at a time.
+TILE, STRIP = 512, 64
+#: Bytes of tiles that a worker is sent at a time.
+TILE_BYTES = 2 << 20
 #: Hashes that are counted at a time, a bound of memory for long texts.
 STEP = 1 << 16
 
@@ -155,12 +159,75 @@ def sketches(rows: DataFrame, words: int, lanes: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: int = CROWD, centres: int = CENTRES) -> DataFrame:
-    """(u, v): links between sketches ``groups`` (gid, f0, f1, ...) that differ in ``most`` bits or fewer of all.
+def between(c: np.ndarray, f: np.ndarray, d: np.ndarray, g: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that join the components ``c`` of sketches ``f`` and ``d`` of ``g`` as all pairs within ``most`` bits do."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for lo in range(0, len(c), STRIP):
+        own = c[lo : lo + STRIP]
+        apart = np.zeros((len(own), len(d)), np.uint16)
+        for lane in range(f.shape[1]):
+            apart += np.bitwise_count(f[lo : lo + STRIP, None, lane] ^ g[None, :, lane])
+        i, j = np.nonzero((apart <= most) & (own[:, None] != d[None, :]))
+        for u, v in np.unique(np.stack([own[i], d[j]], 1), axis=0).tolist():
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((u, v))
+    return out
+
+
+def _unsettled(probes: DataFrame, crowded: DataFrame, first: DataFrame, lanes: int, most: int, scratch: Scratch, tile: int) -> DataFrame | None:
+    """(u, v): links between the components of ``first`` (gid, component, f0, f1, ...) that pairs in ``crowded`` entries make; None if there is nothing to compare.
+
+    Entries of one component are settled. In each other one all its sketches meet all that look it up: both are dealt
+    into tiles of about ``tile`` sketches by hash, and each pair of tiles is a row, compared in one go.
+    """
+    own, entry = [f"f{k}" for k in range(lanes)], ["seg", "key"]
+    member = F.col("at") == F.col("key")
+
+    def named(entries: DataFrame, *columns: str) -> DataFrame:  # a semi join sends the entries to the driver at most
+        looked = probes.join(entries, entry, "left_semi").select(*entry, member.alias("member"), "by")
+        return merged_with(looked, first.select(F.col("gid").alias("by"), "component", *columns), "by")
+
+    parts = lambda n: F.ceil(n / F.lit(tile)).cast("int")
+    sizes = named(crowded).groupBy(*entry).agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("p"), F.min("component").alias("a"), F.max("component").alias("z"))
+    open_ = scratch.save(sizes.where("a != z").select(*entry, parts(F.col("m")).alias("gm"), parts(F.col("p")).alias("gp")), "open")
+    if open_.isEmpty():
+        return None
+    place = F.when(F.col("member"), F.pmod(F.xxhash64("by"), F.col("gm"))).otherwise(F.col("gm") + F.pmod(F.xxhash64("by"), F.col("gp"))).cast("int")
+    dealt = merged_with(named(open_, *own), open_, entry).select(*entry, "gm", (F.col("gm") + F.col("gp")).alias("g"), place.alias("tile"), F.struct("component", *own).alias("s"))
+    tiles = scratch.save(dealt.groupBy(*entry, "gm", "g", "tile").agg(F.collect_list("s").alias("s")), "tiles")
+    left = tiles.where("tile < gm").select(*entry, F.col("s").alias("a"), F.explode(F.sequence("tile", F.col("g") - 1)).alias("tile"))
+    pairs = merged_with(left, tiles.select(*entry, "tile", F.col("s").alias("b")), [*entry, "tile"]).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def split(s: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+            columns = [np.asarray(s.field(k)) for k in range(lanes + 1)]
+            return columns[0], np.stack(columns[1:], 1).view(np.uint64)
+
+        for b in batches:
+            found = [x for a, z in zip(b.column(0), b.column(1), strict=True) for x in between(*split(a.values), *split(z.values), most)]
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    with arrow_bytes(scratch.spark, TILE_BYTES):
+        return scratch.save(pairs.mapInArrow(run, "u long, v long"), "rest")
+
+
+def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: int = CROWD, centres: int = CENTRES, tile: int = TILE) -> DataFrame:
+    """(gid, component): what links between sketches ``groups`` (gid, f0, f1, ...) that differ in ``most`` bits or fewer of all connect.
 
     Multi-index hashing over 2 * ``lanes`` segments of 32 bits with balls of radius 1: every pair within 4 * lanes - 1
-    bits is looked at, pairs further apart as often as one of their segments is near. Of an entry of over ``crowd``
-    sketches ``centres`` stand for all, so rows grow with the members: who is near no centre is linked by other tables.
+    bits is looked at, pairs further apart if one of their segments is near. Of an entry of over ``crowd`` sketches
+    ``centres`` are met first, so rows grow with the members; what these leave in several components is then compared in
+    full, in tiles, so an entry's size loses no link.
     """
     own = [f"f{k}" for k in range(lanes)]
     low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftrightunsigned(c, 32)
@@ -169,15 +236,25 @@ def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: i
     crowded = scratch.save(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("seg", "key"), "crowded")
     probe = F.concat(F.array(F.col("key")), F.transform(F.filter(_bits(), lambda j: F.getbit("key", j) == 0), lambda j: _flip(F.col("key"), j)))
     probes = table.select(F.col("gid").alias("by"), "seg", F.col("key").alias("at"), F.explode(probe).alias("key"))
-    cold = scratch.save(table.join(crowded, ["seg", "key"], "left_anti"), "cold")
-    met = cold.join(probes, ["seg", "key"]).where("at != key or by < gid").select("by", "gid", *own)
+    cold = table.join(crowded, ["seg", "key"], "left_anti").withColumn("centre", F.lit(False))
     chosen = table.join(crowded, ["seg", "key"], "left_semi").groupBy("seg", "key", F.pmod(F.xxhash64("gid"), F.lit(centres))).agg(F.min(F.struct("gid", *own)).alias("c"))
-    chosen = scratch.save(chosen.select("seg", "key", "c.*"), "centres")
-    met = met.unionByName(chosen.join(probes, ["seg", "key"]).where("by != gid").select("by", "gid", *own))
+    looked = scratch.save(cold.unionByName(chosen.select("seg", "key", "c.*").withColumn("centre", F.lit(True))), "looked")
+    met = merged_with(looked, probes, ["seg", "key"]).where("if(centre, by != gid, at != key or by < gid)").select("by", "gid", "centre", *own)
     met = scratch.save(met, "met")
     others = groups.select(F.col("gid").alias("by"), *(F.col(c).alias(f"g{k}") for k, c in enumerate(own)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"g{k}"))) for k, c in enumerate(own)), F.lit(0))
-    return met.join(others, "by").where(apart <= most).select(F.col("by").alias("u"), F.col("gid").alias("v")).distinct()
+    near = met.join(others, "by").where(apart <= most)
+    # Of the centres that a sketch is near to the least will do here: what this leaves apart is compared below.
+    links = near.groupBy(F.col("by").alias("u"), "centre", F.when(~F.col("centre"), F.col("gid")).alias("pair")).agg(F.min("gid").alias("v")).select("u", "v")
+    linked = components(links, scratch).withColumnRenamed("node", "gid")
+    first = scratch.save(groups.join(linked, "gid", "left").select("gid", F.coalesce("component", "gid").alias("component"), *own), "first")
+    for name in ("looked", "met"):
+        scratch.drop(name)
+    rest = _unsettled(probes, crowded, first, lanes, most, scratch, tile)
+    if rest is None:
+        return first.select("gid", "component")
+    more = components(rest, Scratch(scratch.spark, "rest")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return first.join(more, "component", "left").select("gid", F.coalesce("whole", "component").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, crowd: int = CROWD) -> DataFrame:
@@ -194,8 +271,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     marked = scratch.save(sketches(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), words, lanes), "sketches")
     groups = scratch.save(marked.groupBy(*own).agg(F.min("row").alias("gid")), "groups")
     work = Scratch(docs.sparkSession, "links")
-    linked = components(similar(groups, lanes, most_bits(similarity, 64 * lanes), work, crowd), work).withColumnRenamed("node", "gid")
-    named = scratch.save(groups.join(linked, "gid", "left").select(*own, F.coalesce("component", "gid").alias("component")), "named")
+    linked = similar(groups, lanes, most_bits(similarity, 64 * lanes), work, crowd)
+    named = scratch.save(groups.join(linked, "gid").select(*own, "component"), "named")
     work.drop("")
     members = marked.join(named, own).select(F.col("row").alias(row), "component")
     places = rows.select(row, F.col("doc_id").alias("id")).join(members, row)

@@ -1,6 +1,9 @@
 """Near-dedup keeps rows, whatever their ids."""
 
+import random
+
 from sinoflow.llm import simhash
+from sinoflow.llm.common import Scratch
 
 
 def test_null_and_repeated_ids(spark):
@@ -10,3 +13,23 @@ def test_null_and_repeated_ids(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("9", a + " "), ("1", b), ("7", c), ("3", d)])
     none = [(None, a), (None, c), (None, a)]
     assert sorted(r["text"] for r in simhash.one_of_each(spark.createDataFrame(none, "doc_id long, text string")).collect()) == sorted([a, c])
+
+
+def crowd(spark):
+    """300 pairs of sketches, 14 bits apart, near in the first segment only, which all 600 share but for one bit of some."""
+    r, rows = random.Random(3), []
+    for k in range(300):
+        a = [r.getrandbits(64) for _ in range(4)]
+        a[0] = a[0] >> 32 << 32 | 0xABCD0000
+        b = [x ^ 0x30000 ^ (0x300 << 32) for x in a]
+        b[0] = a[0] ^ (0x300 << 32) ^ (k % 3 == 0)
+        rows += [(2 * k, *a), (2 * k + 1, *b)]
+    signed = [(g, *(x - (x >> 63 << 64) for x in f)) for g, *f in rows]
+    return spark.createDataFrame(signed, "gid long, f0 long, f1 long, f2 long, f3 long")
+
+
+def test_crowded_entries_lose_no_link(spark):
+    rows = crowd(spark)
+    for size, tile in ((8, 512), (8, 50), (10_000, 512)):  # the last one is no crowd: all pairs
+        got = simhash.similar(rows, 4, 39, Scratch(spark, "test"), size, tile=tile).collect()
+        assert sorted((x["gid"], x["component"]) for x in got) == [(k, k // 2 * 2) for k in range(600)]
