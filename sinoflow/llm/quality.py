@@ -11,6 +11,9 @@ unlearnt). Further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,9 @@ from .training import SAMPLE, fitted_rows, labelled_sample, score_texts
 PASSAGE = 60
 N_FEATURES = 16
 HIDDEN, GATES, EPOCHS, BATCH = 16, 8, 40, 64
+#: Bytes of a text whose words are held at a time, up to the next cut.
+PIECE = 1 << 20
+_CUT = re.compile(rb"(?<!\n)[ \n]")  # where one word ends for certain: a line break goes with what stands behind it
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -47,11 +53,28 @@ def encode(words: list[bytes]) -> list[float]:
     ]
 
 
+def words_of(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, piece by piece."""
+    lo = 0
+    while lo < len(raw):
+        cut = _CUT.search(raw, lo + PIECE)
+        hi = cut.start() if cut else len(raw)
+        words = raw[lo:hi].replace(b"\n", b" \n").replace(b"\n ", b"\n").split(b" ")
+        yield [w for w in words if w.strip()]
+        lo = hi
+
+
 def passages(text: str, size: int = PASSAGE) -> np.ndarray:
     """One row of features a passage, at least one."""
-    words = text.encode().replace(b"\n", b" \n").replace(b"\n ", b"\n").split(b" ")
-    words = [w for w in words if w.strip()]
-    return np.array([encode(words[k : k + size]) for k in range(0, max(1, len(words)), size)], np.float64)
+    out, left = [], []
+    for words in words_of(text.encode()):
+        words = left + words
+        whole = len(words) // size * size
+        out += [np.array([encode(words[k : k + size]) for k in range(0, whole, size)], np.float64)] if whole else []
+        left = words[whole:]
+    if left or not out:
+        out.append(np.array([encode(left)], np.float64))
+    return np.concatenate(out)
 
 
 class Attention:
@@ -125,7 +148,7 @@ def quality(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> D
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, keep, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, all columns, that score ``threshold`` or more. Workers get the session's batches: the plan runs later."""
     import pyarrow as pa
 
     model = fit(docs, labels, keep, sample)
