@@ -253,7 +253,7 @@ def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: i
     rest = _unsettled(probes, crowded, first, lanes, most, scratch, tile)
     if rest is None:
         return first.select("gid", "component")
-    more = components(rest, Scratch(scratch.spark, "rest")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    more = components(rest, Scratch(scratch.spark, "rest", scratch.heaps)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     return first.join(more, "component", "left").select("gid", F.coalesce("whole", "component").alias("component"))
 
 
@@ -265,12 +265,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     Texts without words are near each other. Rows are numbered once, in a written table, and go by number, so neither
     null nor repeated ids merge texts. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "kept")
+    scratch = Scratch(docs.sparkSession, "kept", heaps=True)  # many short rounds: sorts leave more garbage than the rows need
     row, own = free_name(docs, "row"), [f"f{k}" for k in range(lanes)]
     rows = scratch.save_bucketed(docs.withColumn(row, F.monotonically_increasing_id()), "rows", row)
     marked = scratch.save(sketches(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), words, lanes), "sketches")
     groups = scratch.save(marked.groupBy(*own).agg(F.min("row").alias("gid")), "groups")
-    work = Scratch(docs.sparkSession, "links")
+    work = Scratch(docs.sparkSession, "links", heaps=True)
     linked = similar(groups, lanes, most_bits(similarity, 64 * lanes), work, crowd)
     named = scratch.save(groups.join(linked, "gid").select(*own, "component"), "named")
     work.drop("")

@@ -306,8 +306,8 @@ def tokenizer_of(definition: str, most: int = KNOWN_PIECES) -> tuple[Callable[[p
 BLOCKS = "shard int, block long, first long, n_ids long, payload binary"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
-    """Encodes ``docs`` with the tokenizer file (read on the driver) and writes the packed corpus to ``path``."""
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, pieces: int = KNOWN_PIECES) -> None:
+    """Encodes ``docs`` with the tokenizer file (read on the driver) and writes the packed corpus to ``path``; a worker remembers about ``pieces``."""
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
@@ -316,7 +316,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, vocabulary = kept(("tokenizer", definition.value), lambda: tokenizer_of(definition.value))  # a worker's later tasks go on with its pieces
+        encoder, vocabulary = kept(("tokenizer", pieces, definition.value), lambda: tokenizer_of(definition.value, pieces))  # a worker's later tasks go on with its pieces
         bits, end = width(max(vocabulary, end_id + 1)), np.array([end_id], np.uint32)
         names, ids, held, first, k = [], [], 0, 0, 0
 
@@ -374,9 +374,9 @@ def _read(spark: SparkSession, path: str, columns: str, arrays, of) -> DataFrame
     return blocks.join(shards.select("shard", "before"), "shard").select((F.col("before") + F.col("first")).alias("start"), "payload").mapInArrow(decode, f"doc_id long, start long, {columns}")
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 0, pieces: int = KNOWN_PIECES) -> DataFrame:
     """Writes ``docs`` to the shared folder, reads the files back and returns doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = Scratch(spark, "tokens").path("corpus")
-    write_tokens(docs, tokenizer, path, end_id)
+    write_tokens(docs, tokenizer, path, end_id, pieces=pieces)
     return read_digests(spark, path)

@@ -6,7 +6,8 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from sinoflow.llm import quality
+import corpus_pipeline
+from sinoflow.llm import common, quality, queries, simhash, token_output
 from sinoflow.llm.training import fitted_rows, score_texts
 
 
@@ -46,3 +47,28 @@ def test_words_of_a_long_text_are_not_held_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 20_000 and peak < 6 * len(text)
+
+
+def full_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_executors_give_back_their_heap_before_each_stage(spark):
+    before = full_collections(spark)
+    stage = corpus_pipeline.staged(lambda spark, docs, sf_dir: full_collections(spark))
+    assert stage(spark, spark.range(1), "") > before
+
+
+def test_executors_give_back_their_heap_between_rounds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(common, "give_back", asked.append, raising=False)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("one two three four five six "), 20), F.col("id")).alias("text"))
+    assert simhash.one_of_each(docs).count() == 1
+    assert len(asked) >= 4
+
+
+def test_pieces_that_workers_remember_change_no_token(spark):
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 200)).alias("text"))
+    got = [sorted(map(tuple, token_output.encode_corpus(docs, queries.tokenizer_path(), pieces=n).collect())) for n in (20, token_output.KNOWN_PIECES)]
+    assert got[0] == got[1] and len(got[0]) == 30
