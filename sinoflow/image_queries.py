@@ -214,7 +214,7 @@ ORACLE_SQL = {
     "scalar_minus": _cell(SINO_CELLS, "2.5 - value"),
     "scalar_over": _cell(VOLUME, "2.5 / nullif(value, 0)"),
     "max_normalize": _cell(VOLUME, "value / (SELECT max(value) FROM c)"),
-    "ramp_cutoff": _cell(SINO_CELLS, "CASE WHEN abs(col_id - 32) / 64.0 < 0.25 THEN value * abs(col_id - 32) / 64.0 ELSE value END"),
+    "ramp_cutoff": _cell(SINO_CELLS, "CASE WHEN abs(col_id - 32) / 64.0 < 0.25 THEN value * abs(col_id - 32) / 64.0 ELSE 0.0 END"),
     "floor": _cell(SINO_CELLS, "greatest(value, 0.1)"),
     "minus_log": _cell(SINO_CELLS, "-ln(greatest(value, 0.01))"),
     "flat_dark": _cell(VOLUME, "(value - 0.5) / (avg(value) OVER (PARTITION BY slice_id, col_id) + 0.5)"),

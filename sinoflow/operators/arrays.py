@@ -179,9 +179,9 @@ def max_normalize(df: DataFrame) -> DataFrame:
 
 
 def ramp(df: DataFrame, cutoff: float = 1.0) -> DataFrame:
-    """A centred spectrum times |k - n/2| / n below ``cutoff``, 1 above it."""
+    """A centred spectrum times |k - n/2| / n below ``cutoff``; nothing passes from there on."""
     n = F.size("values")
-    return _set(df, F.transform("values", lambda v, k: F.when((f := F.abs(k - F.floor(n / 2)) / n) < cutoff, v * f).otherwise(v)))
+    return _set(df, F.transform("values", lambda v, k: F.when((f := F.abs(k - F.floor(n / 2)) / n) < cutoff, v * f).otherwise(0.0)))
 
 
 def _fold(start: float, of) -> Column:

@@ -96,3 +96,9 @@ def test_spectra_of_rows_of_different_lengths(spark):
     z = S.fft1d(S.to_complex(spark.createDataFrame(rows, T.ROWS).coalesce(1))).orderBy("row_id").collect()
     for r, (_, _, v) in zip(z, rows, strict=True):
         assert np.allclose(np.array(r["re"]) + 1j * np.array(r["im"]), np.fft.fft(v) if v else [])
+
+
+def test_ramp_passes_nothing_from_the_cutoff_on(spark):
+    row = [1.0] * 16
+    out = A.ramp(spark.createDataFrame([(0, 0, row)], T.ROWS), 0.25).first()["values"]
+    assert out == [abs(k - 8) / 16 if abs(k - 8) / 16 < 0.25 else 0.0 for k in range(16)]
