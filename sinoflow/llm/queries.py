@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, mixing, quality, repeats, simhash, token_output, toxicity, url_filter
+from . import decontaminate, exact_dedup, licenses, mixing, quality, repeats, sharding, simhash, token_output, toxicity, url_filter
 from .training import fold
 
 
@@ -71,6 +71,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_mix": op9_mix,
     "op10_repeats": op10_repeats,
+    "op11_shards": op11_shards,
 }
 
 def _license_sql() -> str:
