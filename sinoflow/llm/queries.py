@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, mixing, quality, repeats, sharding, simhash, token_output, toxicity, url_filter
+from . import conversations, decontaminate, exact_dedup, licenses, mixing, quality, repeats, sharding, simhash, spelling, token_output, toxicity, url_filter
 from .training import fold
 
 
@@ -76,6 +76,15 @@ def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(rows), rows)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -88,6 +97,8 @@ QUERIES = {
     "op9_mix": op9_mix,
     "op10_repeats": op10_repeats,
     "op11_shards": op11_shards,
+    "op12_spelling": op12_spelling,
+    "op13_conversations": op13_conversations,
 }
 
 def _license_sql() -> str:
