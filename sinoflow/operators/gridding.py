@@ -23,21 +23,20 @@ def _good(n: int) -> int:
         n += 2
 
 
-class Gridding:
-    """Modes -n//2 .. in both axes against waves at the points (x, y), in radians."""
+class Axis:
+    """One axis of ``n`` modes -n//2 .. : the finer grid, the kernel's transform at the modes, and what lies near a point."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, n: int, eps: float) -> None:
+    def __init__(self, n: int, eps: float) -> None:
         self.n, self.wide = n, min(16, max(3, int(np.ceil(-np.log10(eps))) + 2))
         self.fine = max(_good(2 * n), 2 * self.wide)
         self.beta = 2.3 * self.wide
-        self.x, self.y = self._near(x), self._near(y)
         z, weight = np.polynomial.legendre.leggauss(64 + 2 * self.wide)
         k = np.arange(n) - n // 2
         waves = np.cos(np.outer(k * (np.pi * self.wide / self.fine), z))
         self.kernel = waves @ (weight * np.exp(self.beta * (np.sqrt(1 - z * z) - 1))) * self.wide / 2
         self.place = k % self.fine
 
-    def _near(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(grid places, kernel values) about each point."""
         u = np.mod(at / (2 * np.pi) * self.fine, self.fine)
         first = np.ceil(u - self.wide / 2).astype(np.int64)
@@ -45,6 +44,15 @@ class Gridding:
         z = np.clip((step - u[:, None]) * (2 / self.wide), -1, 1)
         return step % self.fine, np.exp(self.beta * (np.sqrt(1 - z * z) - 1))
 
+
+class Gridding:
+    """Modes -n//2 .. in both axes against waves at the points (x, y), in radians."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, n: int, eps: float) -> None:
+        axis = Axis(n, eps)
+        self.n, self.wide, self.fine, self.kernel, self.place = n, axis.wide, axis.fine, axis.kernel, axis.place
+        self.x, self.y = axis.near(x), axis.near(y)
+
     def from_points(self, values: np.ndarray) -> np.ndarray:
         """out[j, k] = sum of value * exp(i (k x + j y)) over the points."""
         (ix, wx), (iy, wy) = self.x, self.y

@@ -1,20 +1,23 @@
 """The normal operator as a convolution: one transfer function for all slices, then two real FFTs a slice.
 
-Back-projecting a projection is a convolution with the point spread of the angles. Its transform is summed once, on the
-driver, for it depends on the angles and the width alone ((2n - 1) x n complex numbers), and is broadcast; a slice then
-costs O(n^2 log n) where the direct sums cost O(P n^3).
+Back-projecting a projection is a convolution with the point spread of the angles, which depends on the angles and the
+width alone. ``spread_rows`` sums it on executors, from a table of angles, as a table of rows; ``Stored`` is that table as
+tasks read it from the shared folder, once a worker process ((2n - 1) x n complex numbers). ``transfer`` is the same on the
+driver, for small widths. A slice then costs O(n^2 log n) where the direct sums cost O(P n^3).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
+from ..sources.container import filesystem
+from . import arrays, nufft
 from .gridding import Gridding
-from .transforms import DIRECT, EPS, STEP, per_slice, polar
+from .transforms import DIRECT, EPS, STEP, grid, per_slice, polar
 
 
 def point_spread(theta, n: int) -> np.ndarray:
@@ -36,6 +39,36 @@ def transfer(theta, n: int) -> np.ndarray:
     return np.fft.rfft2(np.fft.ifftshift(point_spread(theta, n)))
 
 
+def spread_rows(angles: DataFrame, n: int, eps: float = EPS) -> DataFrame:
+    """The point spread of ``angles`` (proj_id, theta) as rows (slice_id 0, row_id, values): every sample is a point of weight 1."""
+    points = grid(angles, n).select(F.lit(0).alias("slice_id"), F.xxhash64("proj_id", "col_id").alias("point_id"), "x", "y", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    return nufft.to_modes(points, 2 * n - 1, 2 * n - 1, eps).select("slice_id", "row_id", F.col("re").alias("values"))
+
+
+class Stored:
+    """The transfer function of a written table of ``spread_rows``: its files are read and transformed once in a worker process."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.files = sorted(rows.inputFiles())
+
+    @property
+    def value(self) -> np.ndarray:
+        import builtins
+
+        known = builtins.__dict__.setdefault("_sinoflow_transfer", {})
+        key = tuple(self.files)
+        if key not in known:
+            known.clear()
+            lines = {}
+            for file in self.files:
+                fs, path = filesystem(file)
+                with fs.open_input_file(path) as f:
+                    t = pq.read_table(f, columns=["row_id", "values"])
+                lines |= {r: v.values.to_numpy() for r, v in zip(t["row_id"].to_pylist(), t["values"], strict=True)}
+            known[key] = np.fft.rfft2(np.fft.ifftshift(np.stack([lines[r] for r in range(len(lines))])))
+        return known[key]
+
+
 def convolve(image: np.ndarray, spread: np.ndarray) -> np.ndarray:
     """``image`` convolved with the point spread and scaled as the normal operator is."""
     n, m = image.shape[1], 2 * image.shape[1] - 1
@@ -45,7 +78,7 @@ def convolve(image: np.ndarray, spread: np.ndarray) -> np.ndarray:
 
 def _shared(df: DataFrame, spread):
     """A broadcast of the transfer function; one that is already shared is used again."""
-    return spread if isinstance(spread, Broadcast) else df.sparkSession.sparkContext.broadcast(spread)
+    return spread if isinstance(spread, Broadcast | Stored) else df.sparkSession.sparkContext.broadcast(spread)
 
 
 def normal(images: DataFrame, spread) -> DataFrame:

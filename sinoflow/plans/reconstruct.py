@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arrays as A
-from ..operators import toeplitz
+from ..operators import chunked, toeplitz
 from ..operators import transforms as T
+from . import optimize
 
 Save = Callable[[DataFrame, str], DataFrame]
 
@@ -66,74 +68,117 @@ class Solved:
     ended: str
 
 
-def _step(theta, n: int, spread: np.ndarray | None) -> float:
-    one = np.ones((n, n))
-    top = (toeplitz.convolve(one, spread) if spread is not None else T.normal_slice(one, np.asarray(theta, float))).max()
+def lipschitz_step(spark: SparkSession, n: int, normal: Callable[[np.ndarray], np.ndarray]) -> float:
+    """1 over the greatest value of the normal operator on a slice of ones, 1 at most; the slice is a table's."""
+    ones = spark.range(n).select(F.lit(0).alias("slice_id"), F.col("id").cast("int").alias("row_id"), F.array_repeat(F.lit(1.0), n).alias("values"))
+    top = T.per_slice(ones, normal).agg(F.max(F.array_max("values"))).first()[0] or 0.0
     return min(1.0, 1 / top) if top > 0 else 1.0
 
 
-def _moved(a: DataFrame, b: DataFrame, by: float) -> DataFrame:
-    """a + b * by."""
-    return A.zip_arrays(a, b, lambda x, y: x + y * F.lit(float(by)))
+def normal_of(theta: np.ndarray, n: int, spread=None) -> Callable[[np.ndarray], np.ndarray]:
+    """The normal operator on one slice, as tasks apply it: by the transfer function ``spread`` (shared or stored), or direct."""
+    return (lambda x: toeplitz.convolve(x, spread.value)) if spread is not None else (lambda x: T.normal_slice(x, theta))
+
+
+class Fused:
+    """The reconstruction as a problem for the optimizer, a step being one pass over the iterates and a sum over its rows.
+
+    The normal operator N is linear, so a table that carries x, N x, s and N s beside each other gives N y by arithmetic; the
+    only operator that a step applies is that on its gradient, which gives N of the candidate too. Misfits are
+    norm + x * (N x - 2 b), with b the back-projected sinogram. Slices come in chunks with their border slices for the prior;
+    of those only x and s are sent.
+    """
+
+    COLUMNS = ("x", "nx", "s", "ns", "b")
+    SUMS = ("fx", "fy", "gg", "dd", "ss")
+    SCHEMA = "slice_id int, row_id int, " + ", ".join(f"{c} array<double>" for c in COLUMNS) + ", " + ", ".join(f"{c} double" for c in SUMS)
+
+    def __init__(self, back: DataFrame, norm: float, normal: Callable[[np.ndarray], np.ndarray], sigma: float, p: float, save: Save, curvature: bool = False, parts: int | None = None) -> None:
+        self.back, self.norm, self.normal, self.sigma, self.p, self.save = back, norm, normal, sigma, p, save
+        self.more = sum(w for *_, w in A.weights()) * A.prior_curvature(sigma) if curvature else 0.0
+        self.parts, self.k, self.slices = parts, 0, 0
+
+    def _saved(self, df: DataFrame) -> tuple[DataFrame, str]:
+        name = f"step{self.k}"
+        self.k += 1
+        return self.save(df, name), name
+
+    def begin(self, start: DataFrame) -> tuple:
+        x = start.select("slice_id", "row_id", "values")
+        n = T.per_slice(x, self.normal)
+        of = lambda df, name: df.select(F.col("slice_id").cast("int").alias("slice_id"), F.col("row_id").cast("int").alias("row_id"), F.col("values").alias(name))
+        met = of(x, "x").join(of(n, "nx"), ["slice_id", "row_id"]).join(of(self.back, "b"), ["slice_id", "row_id"], "left")
+        b = F.coalesce("b", F.transform("x", lambda v: F.lit(0.0)))
+        state = self._saved(met.select("slice_id", "row_id", "x", "nx", F.col("x").alias("s"), F.col("nx").alias("ns"), b.alias("b"), *(F.lit(0.0).alias(c) for c in self.SUMS)))
+        self.slices = int(A.dims(state[0].withColumnRenamed("x", "values")).first()["slices"] or 0)
+        return state
+
+    def step(self, state: tuple, beta: float, step: float, base: str = "s", keep: str = "x") -> tuple:
+        df, name = state
+        sigma, p, more, normal = self.sigma, self.p, self.more, self.normal
+        parts = min(self.slices, self.parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        met = A.chunks(df.select("slice_id", "row_id", *self.COLUMNS), self.slices, max(1, parts), 1)
+        light = met.select("chunk_id", "ghost", "slice_id", "row_id", "x", "s", *(F.when(~F.col("ghost"), F.col(c)).alias(c) for c in ("nx", "ns", "b")))
+        columns, sums = self.COLUMNS, self.SUMS
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = pdf[~pdf["ghost"]]
+            along = lambda a, b: b if base == "x" else a + beta * (a - b)
+            x, s = chunked.slices_of(pdf, "x"), chunked.slices_of(pdf, "s")
+            y = {k: along(s[k], x[k]) for k in s}
+            nx, ns, b = (chunked.slices_of(own, c) for c in ("nx", "ns", "b"))
+            out = []
+            for k in nx:
+                ny = along(ns[k], nx[k])
+                g = ny - b[k] + chunked.prior_slice(*chunked.beside(y, k), sigma, p) + more
+                c, nc = y[k] - step * g, ny - step * normal(g)
+                kept, nkept = (x[k], nx[k]) if keep == "x" else (s[k], ns[k])
+                totals = [(c * (nc - 2 * b[k])).sum(1), (y[k] * (ny - 2 * b[k])).sum(1), (g * g).sum(1), ((c - x[k]) ** 2).sum(1), (c * c).sum(1)]
+                rows = {"slice_id": np.int32(k), "row_id": np.arange(len(c), dtype=np.int32)}
+                rows |= {name: list(v) for name, v in zip(columns, (kept, nkept, c, nc, b[k]), strict=True)}
+                out.append(pd.DataFrame(rows | dict(zip(sums, totals, strict=True))))
+            return pd.concat(out)
+
+        after = self._saved(light.groupBy("chunk_id").applyInPandas(run, self.SCHEMA))
+        fx, fy, gg, dd, ss = (v or 0.0 for v in after[0].agg(*(F.sum(c) for c in self.SUMS)).first())
+        if hasattr(self.save, "drop"):
+            self.save.drop(name)
+        root = lambda square: float(np.sqrt(max(0.0, self.norm + square)))
+        return after, optimize.Sums(root(fx), root(fy), gg, dd, ss)
+
+    def settle(self, state: tuple) -> tuple:
+        df, name = state
+        return df.withColumns({"x": F.col("s"), "nx": F.col("ns")}), name
+
+    def images(self, state: tuple) -> DataFrame:
+        return state[0].select("slice_id", "row_id", F.col("s").alias("values"))
 
 
 def solve(
     start: DataFrame, sino: DataFrame, theta, save: Save, iterations: int = 100, sigma: float = 100.0, p: float = 1.2,
     tol: float = 1e-4, xtol: float = 1e-4, method: str = "toeplitz", early_stop: bool = False, curvature: bool = False,
 ) -> Solved:
-    """Backtracking descent on the misfit and the edge-preserving prior, with momentum on retried steps.
+    """Backtracking descent on the misfit and the edge-preserving prior, with momentum on retried steps (``optimize.backtracking``).
 
-    A step is taken when the root of the misfit exceeds that of the extrapolated point by no more than half the step
-    times the gradient's sum of squares; else it is tried again with nine tenths of the step. ``save`` writes a frame
-    to the shared folder and rereads it: an iterate is read by several jobs, and its plan would grow with each. All
-    iterations run, unless ``early_stop`` ends them when error or images change by less than ``tol`` or ``xtol``, as a
-    share of themselves.
+    ``save`` writes a frame to the shared folder and rereads it; its ``drop``, if it has one, removes iterates that no later
+    step reads. With ``method`` toeplitz the point spread is summed on executors, written, and read by the tasks.
     """
     if method not in ("toeplitz", "direct"):
         raise ValueError("method is toeplitz or direct")
-    theta = np.asarray(theta, float)
+    theta, spark = np.asarray(theta, float), start.sparkSession
     n = _width(start)
     back = save(T.backproject(sino, theta), "back")
     norm = sino.agg(A.squares(sino)).first()[0] or 0.0
-    spread = toeplitz.transfer(theta, n) if method == "toeplitz" else None
-
-    def misfit(x: DataFrame) -> float:
-        square = toeplitz.misfit(x, back, spread, norm) if spread is not None else T.error(x, sino, theta)
-        return float(np.sqrt(max(0.0, square)))
-
-    def slope(x: DataFrame) -> DataFrame:
-        data = toeplitz.gradient(x, back, spread) if spread is not None else T.gradient(x, back, theta)
-        steep = A.add(data, A.prior_gradient(x, sigma, p))
-        return A.add_curvature(steep, sigma) if curvature else steep
-
-    full = _step(theta, n, spread)
-    if spread is not None:
-        spread = start.sparkSession.sparkContext.broadcast(spread)  # once for all iterations
-    x = tried = save(start, "start")
-    t = now = 1.0
-    known: dict[int, float] = {}  # the misfit of the last iterate, by its frame
-    errors: list[float] = []
-    for k in range(iterations):
-        step, trial = full, 0
-        while True:
-            beta, now = now * (1 / t - 1), 0.5 * (np.sqrt(t**4 + 4 * t**2) - t**2)
-            y = tried if tried is x or not beta else save(_moved(tried, A.subtract(tried, x), beta), f"y{k}-{trial}")
-            g = save(slope(y), f"g{k}-{trial}")
-            tried = save(_moved(y, g, -step), f"x{k}-{trial}")
-            error, slack = misfit(tried), 0.5 * step * (g.agg(A.squares(g)).first()[0] or 0.0)
-            at_y = known.get(id(y))
-            if not error > (misfit(y) if at_y is None else at_y) + slack:
-                break
-            step, trial = step * 0.9, trial + 1
-        t, before, x, known = now, x, tried, {id(tried): error}
-        errors.append(error)
-        if early_stop:
-            change, size = A.squared_difference(x, before).first()[0] or 0.0, x.agg(A.squares(x)).first()[0] or 0.0
-            if len(errors) > 1 and abs(errors[-2] - error) <= tol * errors[-2]:
-                return Solved(x, errors, "tol")
-            if change <= xtol**2 * size:
-                return Solved(x, errors, "xtol")
-    return Solved(x, errors, "iterations")
+    spread = None
+    if method == "toeplitz":
+        angles = spark.createDataFrame([(k, float(t)) for k, t in enumerate(theta)], "proj_id long, theta double")
+        spread = toeplitz.Stored(save(toeplitz.spread_rows(angles, n), "spread"))
+    normal = normal_of(theta, n, spread)
+    problem = Fused(back, norm, normal, sigma, p, save, curvature)
+    out = optimize.backtracking(problem, start, iterations, lipschitz_step(spark, n, normal), tol, xtol, early_stop)
+    if iterations and hasattr(save, "drop"):
+        save.drop("back")
+    return Solved(out.images, out.errors, out.ended)
 
 
 def mbir(

@@ -1,4 +1,4 @@
-"""Where sinograms and volumes come from and go to: Parquet row-blocks, NumPy arrays and raw binary files.
+"""Where sinograms and volumes come from and go to: Parquet row-blocks and NumPy arrays (``container`` has array containers and raw files).
 
 A row-block is (slice_id, row_id, values array<double>). On disk the rows of a stack lie in files that are ranges of
 slices, in order, so a range of slices is pruned by the files' own statistics.
@@ -7,7 +7,6 @@ slices, in order, so a range of slices is pruned by the files' own statistics.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,26 +69,3 @@ def to_numpy(df: DataFrame) -> np.ndarray:
     if counts.nunique() != 1:
         raise ValueError("the slices differ in their number of rows")
     return np.stack(pdf["values"].to_list()).reshape(len(counts), int(counts.iloc[0]), -1)
-
-
-def read_raw(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "<f4") -> DataFrame:
-    """Raw binary files of whole slices, C order; the files in order of their paths, slices numbered through.
-
-    A file is one task's unit, so a large stack should be many files.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    size = rows * cols * np.dtype(dtype).itemsize
-    names = [(r["path"], r["length"]) for r in files.select("path", "length").orderBy("path").collect()]
-    bad = [p for p, n in names if n % size]
-    if bad:
-        raise ValueError(f"{bad[0]} is not a whole number of slices")
-    first = dict(zip((p for p, _ in names), np.cumsum([0, *(n // size for _, n in names)]).tolist(), strict=False))
-
-    def decode(batches):
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = np.frombuffer(content, dtype).reshape(-1, rows, cols)
-                for k, m in enumerate(a):
-                    yield pd.DataFrame({"slice_id": first[p] + k, "row_id": np.arange(rows), "values": list(m.astype(float))})
-
-    return files.select("path", "content").mapInPandas(decode, SCHEMA)
