@@ -6,18 +6,22 @@ is needed or read as a sinogram of 16 angles; SQL sums the transforms directly.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import arrays as A
+from .operators import chunked, nufft
 from .operators import spectra as S
 from .operators import toeplitz as Z
 from .operators import transforms as T
+from .plans import optimize
 from .plans import reconstruct as R
-from .queries import PAIR, SINO_CELLS, VOLUME, _cell, _of, _pad, _rounded, sinograms, squared, volume
+from .queries import PAIR, SINO_CELLS, VOLUME, _cell, _of, _pad, _rounded, cells, sinograms, squared, volume
+from .sources import container
+from .sources.shared import Shared
+from .streaming import backproject as streaming
 
 N, ANGLES = 17, 12
 
@@ -32,22 +36,70 @@ def places(df: DataFrame) -> DataFrame:
     return c.select(*(F.col(k).cast("long").alias(k) for k in ("slice_id", "row_id", "col_id")), *((F.round(F.col("z")[k], 5) + F.lit(0.0)).alias(k) for k in ("re", "im")))
 
 
-def angles(spark: SparkSession, n: int) -> DataFrame:
-    return spark.createDataFrame([(k, float(t)) for k, t in enumerate(T.even_angles(n))], "proj_id long, theta double")
+def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(proj_id, theta): a projection a vector, at a whole number of degrees."""
+    of = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return of.select(F.col("vec_id").cast("long").alias("proj_id"), (F.col("vec_id") % 180 * F.lit(math.pi) / 180).alias("theta"))
 
 
-def saver(spark: SparkSession):
-    """Writes frames to the shared folder (a temporary one on a single machine) and reads them again."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"{root or 'file://' + tempfile.mkdtemp(prefix='sinoflow-')}/solve-{uuid.uuid4().hex}"
+def points(spark: SparkSession, sf_dir: str, slices: int) -> DataFrame:
+    """A point a vector: its place and its value are components."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    at = lambda k: F.col("embedding")[k].cast("double")
+    return e.select((F.col("label") % slices).cast("long").alias("slice_id"), F.col("vec_id").cast("long").alias("point_id"), (at(0) * 20).alias("x"), (at(1) * 20).alias("y"), at(2).alias("re"), at(3).alias("im"))
 
-    def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    return save
+def read_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nufft.to_points(volume(spark, sf_dir), points(spark, sf_dir, 7), 16, 15)
+    return out.select("slice_id", "point_id", *((F.round(c, 2) + F.lit(0.0)).alias(c) for c in ("re", "im")))
+
+
+def lipschitz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solver's step for the projections of ``angles``."""
+    spread = Z.Stored(Shared(spark, "step")(Z.spread_rows(angles(spark, sf_dir), N), "spread"))
+    return spark.createDataFrame([(round(R.lipschitz_step(spark, N, R.normal_of(None, N, spread)), 9),)], "step double")
+
+
+def contained(df: DataFrame, begin: int = 0, end: int = -1) -> DataFrame:
+    """``df`` written to an array container and read again, slices [begin, end) alone."""
+    at = Shared(df.sparkSession, "container").root
+    container.write_array(df, at, "array", compressor="zstd", chunk_bytes=1024)
+    return container.read_array(df.sparkSession, at, "array", begin, end)
+
+
+def raw(df: DataFrame, begin: int) -> DataFrame:
+    """``df`` written to raw files and read again from slice ``begin`` on."""
+    at = Shared(df.sparkSession, "raw").root
+    container.write_raw(df, at, 16, 15, "<f8")
+    return container.read_raw(df.sparkSession, at, 16, 15, "<f8", begin, task_bytes=4096)
+
+
+def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimizer on a problem that is no reconstruction: the least sum of w / 2 (x - v)^2 + x^2 / 2, w being 3 and 4 in turn."""
+    save = Shared(spark, "ridge")
+    v = save(volume(spark, sf_dir), "v")
+    weight = lambda k: F.lit(3.0) + k % 2
+    pull = lambda x: A.subtract(x, v)
+    slope = lambda x: A.add(_set_values(pull(x), lambda d, k: d * weight(k)), x)
+    near = lambda x: _set_values(pull(x), lambda d, k: d * d * weight(k) / 2)
+
+    def error(x: DataFrame) -> float:
+        far = near(x)
+        return (far.agg(A.total(far)).first()[0] or 0.0) + (x.agg(A.squares(x)).first()[0] or 0.0) / 2
+
+    return optimize.backtracking(optimize.Callables(slope, error, save), A.each(v, lambda a: a * 0.0), 9, 1 / 5).images
+
+
+def _set_values(df: DataFrame, of) -> DataFrame:
+    return df.select("slice_id", "row_id", F.transform("values", of).alias("values"))
+
+
+def streamed_fbp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fbp``, its rows coming in files that hold rows of all slices."""
+    save = Shared(spark, "stream")
+    save(volume(spark, sf_dir).repartition(4, "row_id"), "rows")
+    streaming.run(spark, save.path("rows"), save.path("images"), save.path("state"), T.even_angles(16), 7.0, 15, files=2)
+    return spark.read.schema(T.ROWS).parquet(save.path("images"))
 
 
 def gradient(spark: SparkSession, sf_dir: str, fast: bool) -> DataFrame:
@@ -64,11 +116,6 @@ def misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(v, 2) for v in both)], "direct double, toeplitz double")
 
 
-def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Z.point_spread(T.even_angles(ANGLES), N)
-    return spark.createDataFrame([(j, k, round(float(v), 5)) for j, row in enumerate(p) for k, v in enumerate(row)], "row_id long, col_id long, value double")
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = volume(spark, sf_dir)
     mean = A.mean_row(v)
@@ -76,7 +123,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(A.weights(), "d_slice long, d_row long, d_col long, weight double")
+    """The prior's weights, and at how many places of the volume such a neighbour is inside."""
+    w = spark.createDataFrame(A.weights(), "d_slice long, d_row long, d_col long, weight double")
+    inside = [F.col(n) - F.abs(F.col(d)) for n, d in (("slices", "d_slice"), ("rows", "d_row"), ("cols", "d_col"))]
+    return w.crossJoin(F.broadcast(sizes(spark, sf_dir))).select(*w.columns, (inside[0] * inside[1] * inside[2]).alias("places"))
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +134,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconstruction(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    return R.mbir(volume(spark, sf_dir), T.even_angles(16), 7.0, saver(spark), iterations=2, **how).images
+    return R.mbir(volume(spark, sf_dir), T.even_angles(16), 7.0, Shared(spark, "solve"), iterations=2, **how).images
 
 
 def _far(x, sigma: float = 10.0):
@@ -120,8 +170,17 @@ QUERIES = {
     "prior_slope": _of(_far, volume),
     "prior_value": _of(lambda x: A.zip_arrays(x, A.roll(x, 1), lambda a, b: A.prior_value(a - b, 10.0)), volume),
     "prior_curvature": _of(lambda d: A.add_curvature(d, 100.0), volume),
-    "angles": lambda spark, sf_dir: angles(spark, ANGLES).select("proj_id", F.round("theta", 9).alias("theta")),
-    "polar_grid": lambda spark, sf_dir: T.grid(angles(spark, ANGLES), N).select("proj_id", F.col("col_id").cast("long").alias("col_id"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y")),
+    "angles": lambda spark, sf_dir: angles(spark, sf_dir).select("proj_id", F.round("theta", 9).alias("theta")),
+    "polar_grid": lambda spark, sf_dir: T.grid(angles(spark, sf_dir), N).select("proj_id", F.col("col_id").cast("long").alias("col_id"), *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("x", "y"))),
+    "points_to_modes": lambda spark, sf_dir: places(nufft.to_modes(points(spark, sf_dir, 10), 9, 7)),
+    "modes_to_points": read_points,
+    "lipschitz_step": lipschitz,
+    "prior_chunks": _of(lambda d: chunked.prior_chunks(d, 10.0, parts=3), volume),
+    "container_slices": _of(lambda d: contained(d, 2, 5), volume),
+    "container_complex": lambda spark, sf_dir: places(contained(S.fft1d(S.to_complex(volume(spark, sf_dir))))),
+    "raw_slices": _of(lambda d: raw(d, 3), volume),
+    "least_squares": lambda spark, sf_dir: cells(ridge(spark, sf_dir)).withColumn("value", F.round("value", 3)),
+    "fbp_stream": _of(lambda d: d, streamed_fbp),
     "complex_product": lambda spark, sf_dir: places(S.multiply(z := S.fft1d(S.to_complex(volume(spark, sf_dir))), z)),
     "fft1d": lambda spark, sf_dir: places(S.fft1d(S.to_complex(volume(spark, sf_dir)))),
     "ifft1d": lambda spark, sf_dir: places(S.ifft1d(S.to_complex(volume(spark, sf_dir)))),
@@ -129,7 +188,7 @@ QUERIES = {
     "ifft2d": lambda spark, sf_dir: places(S.ifft2d(S.to_complex(volume(spark, sf_dir)))),
     "rfft2d": lambda spark, sf_dir: places(S.rfft2d(S.to_complex(volume(spark, sf_dir)))),
     "irfft2d": _of(lambda d: S.real_part(S.irfft2d(S.rfft2d(S.to_complex(d)), 15)), volume),
-    "point_spread": spread,
+    "point_spread": lambda spark, sf_dir: cells(Z.spread_rows(angles(spark, sf_dir), N)).select("row_id", "col_id", (F.round("value", 2) + F.lit(0.0)).alias("value")),
     "normal_direct": _of(lambda d: T.per_slice(d, lambda x: T.normal_slice(x, T.even_angles(ANGLES))), image),
     "normal_toeplitz": _of(lambda d: Z.normal(d, Z.transfer(T.even_angles(ANGLES), N)), image),
     "gradient_direct": _of(lambda d: d, lambda spark, sf_dir: gradient(spark, sf_dir, False)),
@@ -175,6 +234,8 @@ def _back(source: str, n: int, cells: str, rows: str, filtered: bool, grid: str)
         bp AS (SELECT f.slice_id, j.k AS row_id, k.k AS col_id, sum(re * cos({wave}) - im * sin({wave})) / ({n} * {n}) AS value FROM f JOIN cnt USING (slice_id) CROSS JOIN g j CROSS JOIN g k GROUP BY ALL) """
 
 
+TABLE_POINTS = f"WITH pts AS (SELECT p, i, cos(t) * (i - {N // 2}) * (2 * pi() / {N - 1}) AS x, sin(t) * (i - {N // 2}) * (2 * pi() / {N - 1}) AS y FROM (SELECT vec_id AS p, vec_id % 180 * pi() / 180 AS t FROM embeddings), (SELECT unnest(generate_series(0, {N - 1})) AS i)) "
+PLACES = "WITH e AS (SELECT label, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) * 20 AS x, CAST(embedding[2] AS DOUBLE) * 20 AS y, CAST(embedding[3] AS DOUBLE) AS re, CAST(embedding[4] AS DOUBLE) AS im FROM embeddings) "
 THETA = "f.row_id * pi() / cnt.n"
 WHOLE = "g AS (SELECT unnest(generate_series(0, {})) AS k)"
 
@@ -221,12 +282,23 @@ ORACLE_SQL = {
     "circular_mask": _cell(IMAGE, "CASE WHEN power(col_id - 8, 2) + power(row_id - 8, 2) <= power(17 * 0.9 / 2, 2) THEN value ELSE 0.0 END", tail="FROM x"),
     "crop_reconstruction": _cell(IMAGE, row="row_id - 3", col="col_id - 3", tail="FROM x WHERE row_id BETWEEN 3 AND 13 AND col_id BETWEEN 3 AND 13"),
     "multiply_plane": _cell(IMAGE, "value * (row_id - col_id) + 0.0", tail="FROM x"),
-    "prior_weights": f"SELECT CAST(ds AS BIGINT) AS d_slice, CAST(dr AS BIGINT) AS d_row, CAST(dc AS BIGINT) AS d_col, CAST(w AS DOUBLE) AS weight FROM {OFFSETS}",
+    "prior_weights": f"{VOLUME} SELECT CAST(ds AS BIGINT) AS d_slice, CAST(dr AS BIGINT) AS d_row, CAST(dc AS BIGINT) AS d_col, CAST(w AS DOUBLE) AS weight, CAST(count(*) AS BIGINT) AS places FROM {OFFSETS} o JOIN c ON slice_id + ds BETWEEN 0 AND (SELECT max(slice_id) FROM c) AND row_id + dr BETWEEN 0 AND (SELECT max(row_id) FROM c) AND col_id + dc BETWEEN 0 AND (SELECT max(col_id) FROM c) GROUP BY ALL",
     "prior_slope": SQL_PAIR(f"({SLOPE}) + 0.0", 15),
     "prior_value": SQL_PAIR("power((a.value - b.value) / 10, 2) / (power(abs(a.value - b.value) / 10, 0.8) + 0.001)", 15),
     "prior_curvature": _cell(VOLUME, "value + (6 * 0.0523 + 12 * 0.0370 + 8 * 0.0302) * 2 / (100 * 100 * 0.001)"),
-    "angles": f"SELECT p AS proj_id, round(p * pi() / {ANGLES}, 9) AS theta FROM (SELECT unnest(generate_series(0, {ANGLES - 1})) AS p)",
-    "polar_grid": "WITH o AS (SELECT 1)" + _points(ANGLES, N) + "SELECT p AS proj_id, i AS col_id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y FROM pts",
+    "angles": "SELECT vec_id AS proj_id, round(vec_id % 180 * pi() / 180, 9) AS theta FROM embeddings",
+    "polar_grid": TABLE_POINTS + "SELECT p AS proj_id, i AS col_id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y FROM pts",
+    "points_to_modes": PLACES + """SELECT slice_id, j AS row_id, k AS col_id, round(sum(re * cos(k3 * x + j4 * y) - im * sin(k3 * x + j4 * y)), 5) + 0.0 AS re, round(sum(re * sin(k3 * x + j4 * y) + im * cos(k3 * x + j4 * y)), 5) + 0.0 AS im
+        FROM (SELECT label % 10 AS slice_id, * FROM e) CROSS JOIN (SELECT j, j - 4 AS j4 FROM (SELECT unnest(generate_series(0, 8)) AS j)) CROSS JOIN (SELECT k, k - 3 AS k3 FROM (SELECT unnest(generate_series(0, 6)) AS k)) GROUP BY ALL""",
+    "modes_to_points": VOLUME + ", " + PLACES.removeprefix("WITH ") + """SELECT c.slice_id, point_id, round(sum(value * cos((col_id - 7) * x + (row_id - 8) * y)), 2) + 0.0 AS re, round(-sum(value * sin((col_id - 7) * x + (row_id - 8) * y)), 2) + 0.0 AS im
+        FROM e JOIN c ON c.slice_id = e.label % 7 GROUP BY ALL""",
+    "lipschitz_step": TABLE_POINTS + """, k AS (SELECT unnest(generate_series(0, 16)) AS k),
+        pol AS (SELECT p, i, sum(cos(x * (q.k - 8) + y * (r.k - 8))) AS re, -sum(sin(x * (q.k - 8) + y * (r.k - 8))) AS im FROM pts CROSS JOIN k q CROSS JOIN k r GROUP BY ALL),
+        nrm AS (SELECT r.k AS r, q.k AS q, sum(re * cos(x * (q.k - 8) + y * (r.k - 8)) - im * sin(x * (q.k - 8) + y * (r.k - 8))) / 4913 AS value FROM pol JOIN pts USING (p, i) CROSS JOIN k q CROSS JOIN k r GROUP BY ALL)
+        SELECT round(least(1.0, 1 / max(value)), 9) AS step FROM nrm""",
+    "container_slices": _cell(VOLUME, tail="FROM c WHERE slice_id >= 2 AND slice_id < 5"),
+    "raw_slices": _cell(VOLUME, tail="FROM c WHERE slice_id >= 3"),
+    "least_squares": f"{VOLUME} SELECT slice_id, row_id, col_id, round(value * (3 + col_id % 2) / (4 + col_id % 2), 3) AS value FROM c",
     "complex_product": _spectrum("re * re - im * im", "-", 15, None, "2 * re * im"),
     "fft1d": _spectrum("re", "-", 15, None),
     "ifft1d": _spectrum("re", "", 15, None),
@@ -234,7 +306,7 @@ ORACLE_SQL = {
     "ifft2d": _spectrum("re", "", 15, 16),
     "rfft2d": _spectrum("re", "-", 8, 16),
     "irfft2d": _cell(VOLUME, "value * 240"),
-    "point_spread": "WITH k AS (SELECT unnest(generate_series(0, 32)) AS k)" + _points(ANGLES, N) + "SELECT r.k AS row_id, q.k AS col_id, round(sum(cos(x * (q.k - 16) + y * (r.k - 16))), 5) + 0.0 AS value FROM pts CROSS JOIN k r CROSS JOIN k q GROUP BY ALL",
+    "point_spread": TABLE_POINTS + ", k AS (SELECT unnest(generate_series(0, 32)) AS k) SELECT r.k AS row_id, q.k AS col_id, round(sum(cos(x * (q.k - 16) + y * (r.k - 16))), 2) + 0.0 AS value FROM pts CROSS JOIN k r CROSS JOIN k q GROUP BY ALL",
     "normal_direct": NORMAL + "SELECT slice_id, row_id, col_id, round(value, 5) + 0.0 AS value FROM nrm",
     "normal_toeplitz": NORMAL + "SELECT slice_id, row_id, col_id, round(value, 5) + 0.0 AS value FROM nrm",
     "gradient_direct": NORMAL + f"SELECT nrm.slice_id, nrm.row_id, nrm.col_id, round(nrm.value - b.value, 5) + 0.0 AS value {ROLLED}",
@@ -243,3 +315,4 @@ ORACLE_SQL = {
     "fbp": _back(VOLUME + RECENTRED, 21, "pad", "f.row_id * pi() / 16", True, WHOLE.format(20)) + "SELECT slice_id, row_id - 3 AS row_id, col_id - 3 AS col_id, round(value, 5) + 0.0 AS value FROM bp WHERE row_id BETWEEN 3 AND 17 AND col_id BETWEEN 3 AND 17",
     "adjoint": _back(VOLUME + RECENTRED, 21, "pad", "f.row_id * pi() / 16", False, WHOLE.format(20)) + "SELECT slice_id, row_id - 3 AS row_id, col_id - 3 AS col_id, round(value, 5) + 0.0 AS value FROM bp WHERE row_id BETWEEN 3 AND 17 AND col_id BETWEEN 3 AND 17",
 }
+ORACLE_SQL |= {"prior_chunks": ORACLE_SQL["prior_gradient"], "container_complex": ORACLE_SQL["fft1d"], "fbp_stream": ORACLE_SQL["fbp"]}

@@ -113,17 +113,27 @@ def crop_image(df: DataFrame, padding: int, rows: int, kind: str = SYMMETRIC) ->
     return crop_columns(kept.withColumn("row_id", F.col("row_id") - before), padding, kind)
 
 
+def centre(columns: int, center: float) -> tuple[int, int]:
+    """(columns to roll by, columns to pad with on each side) that bring a rotation axis to the middle; halves go up."""
+    off = (columns + 1) // 2 - math.floor(center + 0.5)
+    return off, max(int(0.42 * columns) // 2, abs(off))
+
+
 def recentre(df: DataFrame, columns: int, center: float) -> DataFrame:
     """Pads a sinogram and rolls its rotation axis to the middle column."""
-    off = (columns + 1) // 2 - math.floor(center + 0.5)  # halves go up
-    pad = max(int(0.42 * columns) // 2, abs(off))
+    off, pad = centre(columns, center)
     return roll(pad_columns(df, 2 * pad), off)
 
 
 def zip_arrays(a: DataFrame, b: DataFrame, of: Callable[[Column, Column], Column]) -> DataFrame:
-    """Element by element, joined by place."""
+    """Element by element, joined by place. A row without a partner, or of another length, is an error, as unequal dimensions are."""
     other = b.select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.col("values").alias("_values"))
-    return _set(a.join(other, [F.col(k) == F.col(f"_{k}") for k in KEYS]), F.zip_with("values", "_values", of))
+    met = a.select(*KEYS, "values").join(other, [F.col(k) == F.col(f"_{k}") for k in KEYS], "full_outer")
+    alone = [F.col(k).isNull() for k in ("slice_id", "_slice_id")]
+    unequal = alone[0] | alone[1] | (F.size("values") != F.size("_values"))
+    place = F.concat_ws(", ", F.coalesce("slice_id", "_slice_id"), F.coalesce("row_id", "_row_id"))
+    values = F.when(unequal, F.raise_error(F.concat(F.lit("the arrays differ in their dimensions at slice, row "), place))).otherwise(F.zip_with("values", "_values", of))
+    return met.select(*KEYS, values.alias("values"))
 
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:

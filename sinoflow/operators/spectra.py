@@ -25,10 +25,30 @@ def real_part(df: DataFrame) -> DataFrame:
     return df.select("slice_id", "row_id", F.col("re").alias("values"))
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b.select("slice_id", "row_id", F.col("re").alias("_re"), F.col("im").alias("_im")), ["slice_id", "row_id"])
+
+
+def add(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Complex sums element by element, joined by place."""
+    return _met(a, b).select("slice_id", "row_id", *(F.zip_with(c, f"_{c}", lambda p, q: p + q).alias(c) for c in ("re", "im")))
+
+
+def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _met(a, b).select("slice_id", "row_id", *(F.zip_with(c, f"_{c}", lambda p, q: p - q).alias(c) for c in ("re", "im")))
+
+
+def divide(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Complex quotients element by element, joined by place; null where the divisor is 0."""
+    size = F.zip_with("_re", "_im", lambda p, q: p * p + q * q)
+    top = multiply(a, b.withColumn("im", F.transform("im", lambda v: -v)))
+    over = _met(top, b)
+    return over.select("slice_id", "row_id", *(F.zip_with(c, size, lambda p, q: F.try_divide(p, q)).alias(c) for c in ("re", "im")))
+
+
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     """Complex products element by element, joined by place."""
-    other = b.select("slice_id", "row_id", F.col("re").alias("_re"), F.col("im").alias("_im"))
-    met = a.join(other, ["slice_id", "row_id"])
+    met = _met(a, b)
     both = lambda x, y: F.zip_with(x, y, lambda p, q: p * q)
     return met.select("slice_id", "row_id", F.zip_with(both("re", "_re"), both("im", "_im"), lambda p, q: p - q).alias("re"), F.zip_with(both("re", "_im"), both("im", "_re"), lambda p, q: p + q).alias("im"))
 

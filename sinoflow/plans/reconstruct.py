@@ -35,6 +35,19 @@ def crop(images: DataFrame, pixels: int) -> DataFrame:
     return A.crop_image(images, 2 * ((wide - pixels) // 2), wide)
 
 
+def prepare_slice(sino: np.ndarray, center: float) -> np.ndarray:
+    """As ``prepare``, on the matrix of one slice."""
+    n = (sino.shape[1] - 1) | 1
+    off, pad = A.centre(n, center)
+    return np.roll(np.pad(sino[:, :n], ((0, 0), (pad, pad))), -off, axis=1)
+
+
+def crop_slice(image: np.ndarray, pixels: int) -> np.ndarray:
+    """As ``crop``, on the matrix of one slice."""
+    k = (len(image) - pixels) // 2
+    return image[k : len(image) - k, k : len(image) - k]
+
+
 def _reconstruct(sino: DataFrame, theta, center: float, filtered: bool) -> DataFrame:
     padded, n = prepare(sino, center)
     return crop(T.backproject(padded, np.asarray(theta, float), filtered), n)
