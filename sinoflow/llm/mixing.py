@@ -5,7 +5,9 @@ document is taken for certain, the rest is an inclusion probability. Within each
 the null space of two constraints (words, documents) until each is 0 or 1, so both totals stay what they were
 (Deville and Tille 2004; the fast flight of Chauvet and Tille 2006, which looks at one unit more than there are
 constraints). Blocks of a few thousand documents move on their own, wherever they are; each leaves two undecided units
-at most, and these meet in blocks again until one block a source remains. Its two units are landed by trying all cases.
+at most, and these meet in blocks again until one block a source remains. For its two units to land near the target, one
+undecided document of each size class (powers of two) of a source stays out of the flight and keeps its probability: all
+cases of these and the two are tried, for the nearest word total among those that keep the document total.
 
 Nulls: a null text has size 0, a null source is a source of its own and the last in order. Repeated rows are units of
 their own. An empty table gives an empty result. Further columns are ignored.
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ BLOCK = 4096
 #: The weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 EPS = 1e-9
+#: Size classes of which a document stays out of the flight; larger documents are of the last one.
+CLASSES = 22
 UNITS = "row long, doc_id long, digest long, source string, size long, base long, pi double"
 
 
@@ -88,13 +93,34 @@ def flight(pi: list[float], size: list[float], coin: Iterator[float]) -> list[fl
 
 
 def landing(pi: list[float], size: list[float]) -> list[float]:
-    """Decides what a flight leaves (two units at most): the nearest word total, then the nearest document total."""
+    """Decides all that is undecided: the nearest word total of those whose document total is off by less than one, then the nearest of these.
+
+    All cases are tried, as pairs of cases of two halves; there are few units (``CLASSES`` and two).
+    """
     open_ = [k for k, p in enumerate(pi) if 0 < p < 1]
     words, docs = sum(pi[k] * size[k] for k in open_), sum(pi[k] for k in open_)
-    best = min(product((1.0, 0.0), repeat=len(open_)), key=lambda s: (abs(sum(x * size[k] for x, k in zip(s, open_, strict=True)) - words), abs(sum(s) - docs)))
+    halves = []
+    for half in (open_[: len(open_) // 2], open_[len(open_) // 2 :]):
+        case = np.array(list(product((0, 1), repeat=len(half))), int).reshape(1 << len(half), -1)
+        halves.append((case, case.sum(1), case @ np.array([size[k] for k in half], float).reshape(-1)))
+    (first, n, w), (second, m, v) = halves
+    best = None
+    for total in {int(np.floor(docs + EPS)), int(np.ceil(docs - EPS))}:
+        for k in range(int(n.max()) + 1):
+            own, other = np.flatnonzero(n == k), np.flatnonzero(m == total - k)
+            if not len(own) or not len(other):
+                continue
+            other = other[np.argsort(v[other], kind="stable")]
+            at = np.searchsorted(v[other], words - w[own])
+            for near in (np.clip(at, 0, len(other) - 1), np.clip(at - 1, 0, len(other) - 1)):
+                off = np.abs(w[own] + v[other[near]] - words)
+                j = int(off.argmin())
+                case = (round(float(off[j]), 6), abs(total - docs), own[j], other[near[j]])
+                if best is None or case < best:
+                    best = case
     pi = list(pi)
-    for k, x in zip(open_, best, strict=True):
-        pi[k] = x
+    for k, x in zip(open_, [*first[best[2]], *second[best[3]]] if open_ else [], strict=True):
+        pi[k] = float(x)
     return pi
 
 
@@ -113,7 +139,7 @@ def balance(units: DataFrame, scratch: Scratch, level: int, blocks: Column, last
     is cut further by row number.
     """
     block = F.pmod(F.xxhash64("doc_id", "size", "digest", F.lit(seed + level)), blocks.cast("long"))
-    units = units.select("row", "doc_id", "digest", "source", "size", "base", "pi", block.alias("block"))
+    units = units.select("row", "doc_id", "digest", "source", "size", "base", "pi", "kept", block.alias("block"))
     over = scratch.save(units.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * most), f"over{level}")
     part = F.lit(0).cast("long")
     if not last and not over.isEmpty():
@@ -125,7 +151,9 @@ def balance(units: DataFrame, scratch: Scratch, level: int, blocks: Column, last
         pdf = pdf.sort_values(["size", "doc_id", "digest", "pi", "row"], ascending=[False, True, True, True, True], kind="stable", na_position="first")
         where = f"{seed}/{level}/{pdf['source'].iloc[0]}/{pdf['block'].iloc[0]}/{pdf['part'].iloc[0]}"
         size = [float(x) for x in pdf["size"]]
-        pi = flight([float(x) for x in pdf["pi"]], size, coins(where))
+        pi, kept = [float(x) for x in pdf["pi"]], [bool(k) for k in pdf["kept"]]
+        flown = iter(flight([p for p, k in zip(pi, kept, strict=True) if not k], [z for z, k in zip(size, kept, strict=True) if not k], coins(where)))
+        pi = [p if k else next(flown) for p, k in zip(pi, kept, strict=True)]
         pdf["pi"] = landing(pi, size) if last else pi
         return pdf[["row", "doc_id", "digest", "source", "size", "base", "pi"]]
 
@@ -144,12 +172,23 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     t = targets.select(F.col("source").alias("_s"), "source_size", "n_docs", "target")
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     units = sizes.join(t, sizes["source"].eqNullSafe(t["_s"])).withColumn("base", F.floor(rate)).withColumn("pi", rate - F.floor(rate))
+    units = scratch.save(units.select("row", "doc_id", "digest", "source", "size", "base", "pi"), "units")
+    open_ = units.where((F.col("pi") > EPS) & (F.col("pi") < 1 - EPS) & (F.col("size") > 0))
+    least = F.min(F.struct("digest", "doc_id", "row", "size", "base", "pi")).alias("u")
+    kept = open_.groupBy("source", F.least(F.floor(F.log2("size")), F.lit(CLASSES - 1)).alias("class")).agg(least)
+    kept = scratch.save(kept.select("u.row", "u.doc_id", "u.digest", "source", "u.size", "u.base", "u.pi", F.lit(True).alias("kept")), "kept")
+    flying = units.withColumn("kept", F.lit(False)).join(kept.select("row").hint("merge"), "row", "left_anti")
+    counts = targets.select(F.col("source").alias("_s"), "n_docs")
+    with_counts = lambda df: df.join(counts, df["source"].eqNullSafe(counts["_s"]))
+    units = with_counts(flying)
     most = targets.agg(F.max("n_docs")).first()[0] or 0  # one number
     done, level = [], 0
     left = -(-most // block)  # blocks of the largest source
     n = F.ceil(F.col("n_docs") / block)
     while True:
         last = left <= 1
+        if last:
+            units = units.select(*kept.columns).unionByName(kept)
         moved = scratch.save(balance(units, scratch, level, F.lit(1) if last else n, last, block, seed), f"level{level}")
         if last:
             done.append(moved)
@@ -158,9 +197,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
         # Two undecided units at most come from each block.
         n = F.greatest(F.lit(1), F.ceil(n * 2 / block))
         left = max(1, -(-left * 2 // block))
-        open_ = moved.where("pi > 0 and pi < 1")
-        t = t.select("_s", "n_docs")
-        units = open_.join(t, open_["source"].eqNullSafe(t["_s"]))
+        units = with_counts(moved.where("pi > 0 and pi < 1").withColumn("kept", F.lit(False)))
         level += 1
     out = done[0]
     for more in done[1:]:

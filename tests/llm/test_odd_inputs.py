@@ -189,3 +189,19 @@ def test_workers_need_no_package(spark, small, tmp_path):
     run = "import pickle, sys; jobs = pickle.load(open(sys.argv[1], 'rb')); [j() for j in jobs]; assert not any(m.startswith('sinoflow') for m in sys.modules)"
     done = subprocess.run([sys.executable, "-c", run, str(at)], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert done.returncode == 0, done.stderr
+
+
+def test_landing_tries_all_cases():
+    from itertools import product
+
+    r = random.Random(5)
+    for _ in range(60):
+        n = r.randint(0, 9)
+        pi, size = [r.choice([0.0, 1.0, r.random(), r.random()]) for _ in range(n)], [float(r.choice([1, 2, 5, 9, 40, 333])) for _ in range(n)]
+        open_ = [k for k in range(n) if 0 < pi[k] < 1]
+        words, docs = sum(pi[k] * size[k] for k in open_), sum(pi[k] for k in open_)
+        got = mixing.landing(pi, size)
+        assert all(g in (0.0, 1.0) and (k in open_ or g == pi[k]) for k, g in enumerate(got))
+        assert abs(sum(got[k] for k in open_) - docs) < 1 + 1e-6
+        least = min(abs(sum(c * size[k] for c, k in zip(case, open_, strict=True)) - words) for case in product((0, 1), repeat=len(open_)) if abs(sum(case) - docs) < 1)
+        assert abs(abs(sum(got[k] * size[k] for k in open_) - words) - least) < 1e-5
