@@ -18,7 +18,7 @@ table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ WORDS = 3
 RADIUS = 3
 #: Fingerprints under one segment value beyond which points take the place of pairs.
 HOT = 512
+#: Shingles of a sampled fingerprint.
+SAMPLE = 3
 #: Sketches under one segment value beyond which some of them are met first, and how many are.
 CROWD, CENTRES = 8, 4
 #: Sketches of a crowded entry that are compared with as many others in one go, and how many of these at a time.
@@ -123,22 +125,48 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> Data
     return merged_with(own, named, own["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
 
 
-def sketch(text: bytes, words: int, lanes: int, seed: int = SEED) -> np.ndarray:
-    """``lanes`` fingerprints of 64 bits of the *set* of a text's shingles, by different hashes; zeros without words."""
+def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The XXH64 hashes of a text's shingles, each once, in order."""
     w = text.lower().split()
     if not w:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     shingles = zip(*(w[k:] for k in range(words)), strict=False) if len(w) >= words else iter([tuple(w)])
-    first = np.unique(np.fromiter((digest(join(s), seed) for s in shingles), np.uint64, max(1, len(w) - words + 1)))
-    out = np.zeros(lanes, np.uint64)
+    return np.unique(np.fromiter((digest(join(s), seed) for s in shingles), np.uint64, max(1, len(w) - words + 1)))
+
+
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    h = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of ``hashes`` set each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _packed(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def sketch(text: bytes, words: int, lanes: int, samples: int = 0, seed: int = SEED) -> np.ndarray:
+    """``lanes`` fingerprints of 64 bits of the *set* of a text's shingles, by different hashes, then ``samples`` fingerprints of
+    a few shingles, those of the least hashes in a lane of their own; zeros without words.
+    """
+    first = shingle_set(text, words, seed)
+    out = np.zeros(lanes + samples, np.uint64)
+    if not len(first):
+        return out
     for lane in range(lanes):
         ones = np.zeros(64, np.int64)
         for k in range(0, len(first), STEP):
-            h = (first[k : k + STEP] ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            ones += np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[lane] = int.from_bytes(np.packbits(2 * ones > len(first), bitorder="little").tobytes(), "little")
+            ones += _majority(_mixed(first[k : k + STEP], lane))
+        out[lane] = _packed(2 * ones > len(first))
+    for lane in range(lanes, lanes + samples):
+        h = _mixed(first, lane)
+        few = np.partition(h, SAMPLE - 1)[:SAMPLE] if len(h) > SAMPLE else h
+        out[lane] = _packed(2 * _majority(few) > len(few))
     return out
 
 
@@ -147,18 +175,45 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(np.ceil(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
 
 
-def sketches(rows: DataFrame, words: int, lanes: int) -> DataFrame:
-    """(row, f0, f1, ...) of ``rows`` (row, text)."""
-    schema = ", ".join(["row long", *(f"f{k} long" for k in range(lanes))])
+def sketches(rows: DataFrame, words: int, lanes: int, samples: int = 0) -> DataFrame:
+    """(row, f0, f1, ..., and sampled ones after the ``lanes`` first) of ``rows`` (row, text)."""
+    wide = lanes + samples
+    schema = ", ".join(["row long", *(f"f{k} long" for k in range(wide))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([sketch(t or b"", words, lanes) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(lanes))], ["row", *(f"f{k}" for k in range(lanes))])
+            f = np.array([sketch(t or b"", words, lanes, samples) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64).reshape(-1, wide).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(wide))], ["row", *(f"f{k}" for k in range(wide))])
 
     return rows.mapInArrow(run, schema)
 
 
+def alike(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose texts in ``rows`` (row, text) have sets of shingles of that Jaccard similarity or more, told exactly."""
+    ids = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t or b"", words).tobytes() for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["row", "s"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    own = merged_with(rows, ids, rows["row"] == ids["u"], "left_semi").select("row", "text")
+    with arrow_bytes(scratch.spark, TILE_BYTES):
+        found = scratch.save(own.mapInArrow(sets, "row long, s binary"), "sets")
+        one, two = (found.select(F.col("row").alias(k), F.col("s").alias(s)) for k, s in (("u", "x"), ("v", "y")))
+        met = merged_with(merged_with(pairs, one, "u"), two, "v").select("u", "v", "x", "y")
+        return scratch.save(met.mapInArrow(near, "u long, v long"), "alike")
+
+
 def between(c: np.ndarray, f: np.ndarray, d: np.ndarray, g: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links that join the components ``c`` of sketches ``f`` and ``d`` of ``g`` as all pairs within ``most`` bits do."""
     root: dict[int, int] = {}
@@ -221,20 +276,29 @@ def _unsettled(probes: DataFrame, crowded: DataFrame, first: DataFrame, lanes: i
         return scratch.save(pairs.mapInArrow(run, "u long, v long"), "rest")
 
 
-def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: int = CROWD, centres: int = CENTRES, tile: int = TILE) -> DataFrame:
+def similar(
+    groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: int = CROWD, centres: int = CENTRES, tile: int = TILE,
+    samples: int = 0, sure: int = 0, wide: int = 0, exact: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(gid, component): what links between sketches ``groups`` (gid, f0, f1, ...) that differ in ``most`` bits or fewer of all connect.
 
     Multi-index hashing over 2 * ``lanes`` segments of 32 bits with balls of radius 1: every pair within 4 * lanes - 1
-    bits is looked at, pairs further apart if one of their segments is near. Of an entry of over ``crowd`` sketches
-    ``centres`` are met first, so rows grow with the members; what these leave in several components is then compared in
-    full, in tiles, so an entry's size loses no link.
+    bits is looked at, pairs further apart if one of their segments is near, or one of ``samples`` further fingerprints,
+    which are segments that must be equal. Of an entry of over ``crowd`` sketches ``centres`` are met first, so rows grow
+    with the members; what these leave in several components is then compared in full, in tiles, so an entry's size
+    loses no link. With ``exact`` (pairs u, v to those that are links) it decides what differs in more than ``sure`` and
+    at most ``wide`` bits; in tiles ``most`` decides.
     """
     own = [f"f{k}" for k in range(lanes)]
     low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftrightunsigned(c, 32)
     halves = F.array(*(F.struct(F.lit(2 * k + j).alias("seg"), half(c).alias("key")) for k, c in enumerate(own) for j, half in enumerate((low, high))))
+    if samples:
+        halves = F.concat(halves, F.array(*(F.struct(F.lit(lanes + k).alias("seg"), F.col(f"f{k}").alias("key")) for k in range(lanes, lanes + samples))))
     table = scratch.save(groups.select("gid", *own, F.inline(halves)), "entries")
     crowded = scratch.save(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("seg", "key"), "crowded")
     probe = F.concat(F.array(F.col("key")), F.transform(F.filter(_bits(), lambda j: F.getbit("key", j) == 0), lambda j: _flip(F.col("key"), j)))
+    if samples:
+        probe = F.when(F.col("seg") < 2 * lanes, probe).otherwise(F.array("key"))
     probes = table.select(F.col("gid").alias("by"), "seg", F.col("key").alias("at"), F.explode(probe).alias("key"))
     cold = table.join(crowded, ["seg", "key"], "left_anti").withColumn("centre", F.lit(False))
     chosen = table.join(crowded, ["seg", "key"], "left_semi").groupBy("seg", "key", F.pmod(F.xxhash64("gid"), F.lit(centres))).agg(F.min(F.struct("gid", *own)).alias("c"))
@@ -243,9 +307,15 @@ def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: i
     met = scratch.save(met, "met")
     others = groups.select(F.col("gid").alias("by"), *(F.col(c).alias(f"g{k}") for k, c in enumerate(own)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"g{k}"))) for k, c in enumerate(own)), F.lit(0))
-    near = met.join(others, "by").where(apart <= most)
+    near = met.join(others, "by").withColumn("apart", apart).where(F.col("apart") <= (wide if exact else most))
+    told = None
+    if exact:
+        near = scratch.save(near.select("by", "gid", "centre", "apart"), "near")
+        asked = near.where(F.col("apart") > sure).select(F.greatest("by", "gid").alias("u"), F.least("by", "gid").alias("v")).distinct()
+        told, near = exact(scratch.save(asked, "asked")), near.where(F.col("apart") <= sure)
     # Of the centres that a sketch is near to the least will do here: what this leaves apart is compared below.
     links = near.groupBy(F.col("by").alias("u"), "centre", F.when(~F.col("centre"), F.col("gid")).alias("pair")).agg(F.min("gid").alias("v")).select("u", "v")
+    links = links if told is None else links.unionByName(told.select("u", "v"))
     linked = components(links, scratch).withColumnRenamed("node", "gid")
     first = scratch.save(groups.join(linked, "gid", "left").select("gid", F.coalesce("component", "gid").alias("component"), *own), "first")
     for name in ("looked", "met"):
@@ -257,21 +327,28 @@ def similar(groups: DataFrame, lanes: int, most: int, scratch: Scratch, crowd: i
     return first.join(more, "component", "left").select("gid", F.coalesce("whole", "component").alias("component"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, crowd: int = CROWD) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, crowd: int = CROWD, samples: int = 8) -> DataFrame:
     """The rows of ``docs``, all columns, that are left when one row of each group of near duplicates stays.
 
-    Near are texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, as 64 *
-    ``lanes`` bits tell it; a group is a component of such links. The least doc_id stays (null last), then the first row.
+    Near are texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is a
+    component of such links. Candidates are pairs with a segment of their 64 * ``lanes`` bits within one bit, or with one
+    of ``samples`` fingerprints of three shingles in common. They are links when they differ in no more bits than a
+    similarity half way to 1 makes one expect; up to four deviations more than one of ``similarity`` does, their sets of
+    shingles are compared. The least doc_id stays (null last), then the first row.
     Texts without words are near each other. Rows are numbered once, in a written table, and go by number, so neither
     null nor repeated ids merge texts. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "kept", heaps=True)  # many short rounds: sorts leave more garbage than the rows need
-    row, own = free_name(docs, "row"), [f"f{k}" for k in range(lanes)]
+    row, own = free_name(docs, "row"), [f"f{k}" for k in range(lanes + samples)]
     rows = scratch.save_bucketed(docs.withColumn(row, F.monotonically_increasing_id()), "rows", row)
-    marked = scratch.save(sketches(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), words, lanes), "sketches")
+    marked = scratch.save(sketches(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), words, lanes, samples), "sketches")
     groups = scratch.save(marked.groupBy(*own).agg(F.min("row").alias("gid")), "groups")
     work = Scratch(docs.sparkSession, "links", heaps=True)
-    linked = similar(groups, lanes, most_bits(similarity, 64 * lanes), work, crowd)
+    texts = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    exact = lambda pairs: alike(texts, pairs, words, similarity, work)
+    bits = 64 * lanes
+    most = most_bits(similarity, bits)
+    linked = similar(groups, lanes, most, work, crowd, samples=samples, sure=most_bits((1 + similarity) / 2, bits), wide=most + int(4 * np.sqrt(most * (1 - most / bits))), exact=exact)
     named = scratch.save(groups.join(linked, "gid").select(*own, "component"), "named")
     work.drop("")
     members = marked.join(named, own).select(F.col("row").alias(row), "component")
