@@ -5,8 +5,10 @@ digest ever seen and never expires: the stable identifier (largest doc_id so far
 index) of that document, and how many rows had the digest. Spark's partial aggregation meets copies before they are
 dealt out, so a text that makes up a third of all rows reaches its state as one row a task.
 
-A digest's texts are then compared byte for byte: a digest with more than one distinct text is a clash, and its rows
-are grouped by their texts instead. Each task deals out one copy of each text it has.
+The texts of digests that the state has met more than once are then compared byte for byte: a digest with more than one
+distinct text is a clash, and its rows are grouped by their texts instead. Texts of other digests stay where they are: a
+bitmap of the digests met again, of ``2 ** BITS`` bits whatever the corpus, is sent to the tasks and lets only these pass,
+with a few that share a bit. Each task deals out one copy of each text it has.
 
 Null text counts as empty. Of equal texts the largest doc_id stays; among repeated rows of that id the last in
 (file, row) order stays, so one row of each group does. A null doc_id is below all others. An empty table gives an
@@ -22,6 +24,8 @@ from .common import Scratch, partitions, text_of
 
 #: Bytes of input files that one micro-batch takes.
 BATCH_BYTES = 8 << 30
+#: Bits of the bitmap of digests met again (16 MB): where it fills up more texts are compared, none less.
+BITS = 27
 RESULT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -73,6 +77,17 @@ def located(docs: DataFrame, digest=sha256) -> DataFrame:
     return docs.select(digest(text_of()).alias("digest"), at.alias("at"), text_of().alias("text"))
 
 
+def met_again(docs: DataFrame, state: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows of ``docs`` whose digest the state has met more than once, and a few others."""
+    at = F.pmod(F.xxhash64("digest"), F.lit(1 << bits)) + 1
+    again = state.where("n > 1").select(at.alias("b"))
+    table = again.groupBy(F.bitmap_bucket_number("b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
+    place = F.bitmap_bit_position(at)
+    met = docs.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_place", place).join(F.broadcast(table), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("int(_place div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, F.col("_place") % 8) == 1).select(docs.columns)
+
+
 def exact_dedup(spark: SparkSession, path: str, digest=sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row for each row of the Parquet documents at ``path``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -81,7 +96,7 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, batch_bytes: int
     scratch = Scratch(spark, "exact")
     state = scratch.save(stream_state(spark, path, scratch, digest, batch_bytes), "keys")
     docs = located(spark.read.parquet(path), digest)
-    texts = docs.select("digest", "text").distinct()  # a task's copies go on as one
+    texts = met_again(docs.select("digest", "text"), state).distinct()  # a task's copies go on as one
     clash = scratch.save(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "clashes")
     rows = docs.select("digest", "at", sha256(F.col("text")).alias("text_sha256"))
     if clash.isEmpty():

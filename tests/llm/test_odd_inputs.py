@@ -205,3 +205,15 @@ def test_landing_tries_all_cases():
         assert abs(sum(got[k] for k in open_) - docs) < 1 + 1e-6
         least = min(abs(sum(c * size[k] for c, k in zip(case, open_, strict=True)) - words) for case in product((0, 1), repeat=len(open_)) if abs(sum(case) - docs) < 1)
         assert abs(abs(sum(got[k] * size[k] for k in open_) - words) - least) < 1e-5
+
+
+def test_only_texts_met_again_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.sha2(F.concat(F.col("id") % 2900).cast("binary"), 256).alias("digest"), F.concat(F.lit("t"), F.col("id") % 2900).alias("text"))
+    state = docs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    got = sorted(r["text"] for r in exact_dedup.met_again(docs, state).collect())
+    assert got == sorted(f"t{k}" for k in range(100) for _ in range(2))
+    some = [r["text"] for r in exact_dedup.met_again(docs, state, bits=4).collect()]  # a full bitmap lets more pass, and all that must
+    assert len(some) > len(got) and not set(got) - set(some)
+    assert exact_dedup.met_again(docs, state.where("n > 5")).count() == 0

@@ -51,3 +51,7 @@ def test_empty_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, t, "x"), (1, t, "x"), (None, "w" + t, "x")], DOCS)
     rows = repeats.remove_repeats(docs, 40).collect()
     assert sorted(r["n_removed"] for r in rows) == [100, 100, 100]
+
+
+def test_long_texts_of_one_character_and_nulls(spark):
+    same(spark, ["a" * 20_000, None, "", "b" + "a" * 500, None, "c" * 399], 400)
