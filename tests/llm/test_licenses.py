@@ -36,3 +36,17 @@ def test_as_plain(spark, small):
 def test_finds_the_licence_lines(spark, small):
     has = {d for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet'").fetchall() if re.search(r"licen[sc]e|licensed", t or "", re.I)}
     assert has and {r["doc_id"] for r in queries.op5_licenses(spark, small).where("license is not null").collect()} == has
+
+
+def test_licences_of_like_wording_are_told_apart(spark):
+    wanted = [(name, text) for name, text in licenses.TEMPLATES if name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "Unlicense", "BSL-1.0", "CC0-1.0", "EPL-2.0", "MIT")]
+    lines = lambda t: re.sub(r"(.{1,70})(?:\s|$)", r"\1\n", t)
+    docs = spark.createDataFrame([(k, f"Copyright 2020 Somebody\n\n{lines(t)}") for k, (_, t) in enumerate(wanted)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert got == {k: n for k, (n, _) in enumerate(wanted)}
+
+
+def test_empty_table_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "own", "own", 1.0), (None, None, "own", "own", 1.0)], "doc_id long, text string, license string, t string, score double")
+    assert {(r["doc_id"], r["license"], r["score"]) for r in licenses.scan(docs).collect()} == {(1, "MIT", 1.0), (None, None, 0.0)}
+    assert licenses.scan(docs.limit(0)).count() == 0
