@@ -1,13 +1,14 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 Every run of ``window`` words of a benchmark item is a window (an item of fewer words is one window). A document holds
-a window only if it holds all of the window's words, so by the prefix bound |w| - ceil(1.0 * |w|) + 1 = 1 it is enough
-to look each window up by one word: the rarest by document frequency over the whole corpus. A document word that is
-some window's prefix gives candidates; the word's place in the window bounds where the window would start and end
-(position and length bounds), and the words there are compared with the window's own (exact verification).
+a window only if it holds all of the window's shingles of two words, so by the prefix bound |w| - ceil(1.0 * |w|) + 1 = 1
+it is enough to look each window up by one of them: the rarest by document frequency over the whole corpus (a window of
+one word is its own shingle). A document shingle that is some window's prefix gives candidates; the shingle's place in the
+window bounds where the window would start and end (position and length bounds), and the words there are compared with
+the window's own (exact verification).
 
-The benchmark goes to the executors in blocks of bounded bytes, never as a whole. With more than one block the corpus
-is read once a block and the hits of a document are merged by its key.
+The prefix join is a lookup in an index that goes to the executors in blocks of bounded bytes, never as a whole. With more
+than one block the corpus is read once a block and the hits of a document are merged by its key.
 
 Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z lower-cased. Null or empty texts have
 no words and are clean; items without words have no windows. Repeated items count once by item_id; items whose id is
@@ -17,7 +18,7 @@ null count as hits but are not named. Repeated documents get a row each. Further
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WINDOW = 10
-#: Bytes of benchmark text that one block may hold: the bound of what is broadcast.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one block may hold: the bound of what is broadcast (its index holds about 60 times as much in a worker).
+BLOCK_BYTES = 2 << 20
 
 _LETTERS = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: Maps a byte of UTF-8 to itself, to lower case, or to a space.
@@ -44,21 +45,37 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes,
             yield tuple(words[k : k + size])
 
 
+def shingles_of(words: Sequence[bytes]) -> list[bytes]:
+    """Each word with the next one; the word itself where it is alone."""
+    return [b"%b %b" % p for p in zip(words, words[1:], strict=False)] or list(words)
+
+
+def tokens_of(words: list[bytes], alone: bool) -> set[bytes]:
+    """All shingles of a document, with its words where ``alone``: windows of one word are looked up by these."""
+    return {*shingles_of(words), *words} if alone else set(shingles_of(words))
+
+
 def build_index(items: Iterable[tuple[int, bytes | None]], frequency: dict[bytes, int], window: int = WINDOW) -> dict:
-    """{prefix word: {(place in window, words in window): {window: item ids}}}."""
+    """{prefix shingle: {(place in window, words in window): {window: item ids}}}."""
     index: dict = {}
     for item, text in items:
         for w in windows_of(words_of(text), window):
-            k = min(range(len(w)), key=lambda i: (frequency.get(w[i], 0), w[i], i))
-            index.setdefault(w[k], {}).setdefault((k, len(w)), {}).setdefault(b" ".join(w), set()).update(() if item is None else (item,))
+            s = shingles_of(w)
+            k = min(range(len(s)), key=lambda i: (frequency.get(s[i], 0), s[i], i))
+            if len(w) == 1:
+                index.setdefault(b"", {})
+            index.setdefault(s[k], {}).setdefault((k, len(w)), {}).setdefault(b" ".join(w), set()).update(() if item is None else (item,))
     return index
 
 
 def find(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set[int]]:
     """Where windows occur (from, to in words), and the items they belong to."""
     spans, items, n = [], set(), len(words)
-    for at in [k for k, w in enumerate(words) if w in index]:
-        for (place, size), known in index[words[at]].items():
+    at_tokens = [(k, s) for k, s in enumerate(shingles_of(words)) if s in index]
+    if n > 1 and b"" in index:  # there are windows of one word
+        at_tokens += [(k, w) for k, w in enumerate(words) if w in index]
+    for at, token in at_tokens:
+        for (place, size), known in index[token].items():
             start = at - place
             if start >= 0 and start + size <= n and (of := known.get(b" ".join(words[start : start + size]))) is not None:
                 spans.append((start, start + size))
@@ -78,15 +95,16 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
-def word_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """In how many documents each word of ``vocabulary`` (one block's words) occurs, over all documents."""
+def frequency_of(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
+    """In how many documents each shingle of ``vocabulary`` (one block's) occurs, over all documents."""
     known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    alone = any(b" " not in s for s in vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[bytes, int] = {}
         for b in batches:
             for t in _binary(b, "text"):
-                for w in known.value.intersection(words_of(t)):
+                for w in known.value.intersection(tokens_of(words_of(t), alone)):
                     n[w] = n.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
@@ -104,7 +122,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
         own = [(r[0], (r[1] or "").encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]  # block_bytes bound it
-        frequency = word_frequency(docs, {w for _, t in own for w in words_of(t)}) if own else {}
+        frequency = frequency_of(docs, {s for _, t in own for s in shingles_of(words_of(t))}) if own else {}
         yield k == blocks - 1, spark.sparkContext.broadcast(build_index(own, frequency, window))
 
 
