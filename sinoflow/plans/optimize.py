@@ -20,6 +20,9 @@ from ..operators import arrays as A
 
 Pair = TypeVar("Pair")
 
+#: Shares of an error and of the images' norm below which differences of errors and gradients are taken for rounding.
+ROUNDING, LEAST = 1e-13, 4e-15
+
 
 @dataclass(frozen=True)
 class Sums:
@@ -56,32 +59,41 @@ def _next(t: float) -> float:
     return 0.5 * (np.sqrt(t**4 + 4 * t**2) - t**2)
 
 
-def backtracking(problem: Problem, start: DataFrame, iterations: int, step: float, tol: float = 1e-4, xtol: float = 1e-4, early_stop: bool = False, shrink: float = 0.9) -> Run:
+def backtracking(problem: Problem, start: DataFrame, iterations: int, step: float, tol: float = 1e-4, xtol: float = 1e-4, early_stop: bool = False, shrink: float = 0.9, within: float | None = None, most: int = 1000) -> Run:
     """A candidate is taken when its error exceeds that at y by no more than half the step times the gradient's sum of
     squares; else it is tried again from there with ``shrink`` times the step. Each iteration begins with ``step`` anew.
 
     All iterations run, unless ``early_stop`` ends them when error or images change by less than ``tol`` or ``xtol``, as a
     share of themselves.
+
+    With ``within``, steps without momentum follow until the gradient's norm is that or less, or is rounding alone; more than
+    ``most`` of them are an error. Where the least curvature is m, the images are then within ``within`` / m of the least.
     """
     pair, t, now = problem.begin(start), 1.0, 1.0
     errors: list[float] = []
     steps: list[list[float]] = []
-    for _ in range(iterations):
+    near = within is None
+    while len(errors) < iterations or not near:
+        plain = len(errors) >= iterations
+        if len(errors) >= iterations + most:
+            raise RuntimeError(f"the gradient's norm is {np.sqrt(sums.gradient)} after {len(errors)} iterations, not {within}")
         tried = [step]
         while True:
             beta, now = now * (1 / t - 1), _next(t)
-            pair, sums = problem.step(pair, beta, tried[-1])
-            if not sums.error > sums.error_at_y + 0.5 * tried[-1] * sums.gradient:
+            pair, sums = problem.step(pair, 0.0 if plain else beta, tried[-1])
+            rounding = ROUNDING * abs(sums.error_at_y) if plain else 0.0
+            if not sums.error > sums.error_at_y + 0.5 * tried[-1] * sums.gradient + rounding:
                 break
             tried.append(tried[-1] * shrink)
         t, pair = now, problem.settle(pair)
         errors.append(sums.error)
         steps.append(tried)
+        near = within is None or not np.sqrt(sums.gradient) > max(within, LEAST * np.sqrt(sums.size))
         if early_stop and len(errors) > 1 and abs(errors[-2] - errors[-1]) <= tol * errors[-2]:
             return Run(problem.images(pair), errors, "tol", steps)
         if early_stop and sums.change <= xtol**2 * sums.size:
             return Run(problem.images(pair), errors, "xtol", steps)
-    return Run(problem.images(pair), errors, "iterations", steps)
+    return Run(problem.images(pair), errors, "iterations" if within is None else "within", steps)
 
 
 def fixed(problem: Problem, start: DataFrame, iterations: int, step: float) -> Run:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from sinoflow import image_queries
 from sinoflow.operators import arrays as A
 from sinoflow.operators import chunked, toeplitz
 from sinoflow.operators import transforms as T
@@ -134,6 +135,21 @@ def test_functions_of_the_user(spark, step):
             assert np.allclose(want, w * v / (w + 1), atol=0.05)
 
 
+@pytest.mark.parametrize("size", [1e3, 1e6, 1e9])
+def test_least_squares_of_values_of_any_size(spark, monkeypatch, size):
+    v = np.round(np.random.default_rng(2).uniform(size=(2, 3, 4)) * size)
+    monkeypatch.setattr(image_queries, "volume", lambda spark, sf_dir: volumes.from_numpy(spark, v))
+    w = np.array([3.0, 4.0, 3.0, 4.0])
+    assert np.abs(volumes.to_numpy(image_queries.ridge(spark, "")) - v * w / (w + 1)).max() < 1e-4
+
+
+def test_steps_that_do_not_come_near_are_an_error(spark):
+    frame = volumes.from_numpy(spark, np.ones((1, 1, 2)))
+    still = optimize.Callables(lambda x: A.each(x, lambda a: a * 0.0 + 1.0), lambda x: 0.0, Shared(spark, "test"))
+    with pytest.raises(RuntimeError, match="gradient's norm"):
+        optimize.backtracking(still, frame, 1, 0.5, within=0.1, most=2)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_prior_by_chunks(spark, parts):
     v = np.random.default_rng(parts).normal(size=(7, 5, 6))
