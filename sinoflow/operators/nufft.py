@@ -5,7 +5,8 @@ a grid about twice as fine as the modes, cut into tiles, and no task holds more
 or one panel of columns:
 
 - points go to the tiles that their kernel touches (four at most) and each tile is summed where it lies. A tile of more
-  than ``MOST`` points is cut by point_id into parts, whose partial grids are added place by place;
+  than ``MOST`` points is cut by point_id into parts, whose partial grids are added place by place. Points learn of it where
+  they are read: the list of such tiles, a row for ``MOST`` points at most, is broadcast;
 - the two-dimensional FFT is one over a band of rows, then one over a panel of columns;
 - the other way round each tile goes, with the border that kernels reach over, to its points.
 
@@ -69,11 +70,10 @@ def _parts(points: DataFrame, most: int) -> DataFrame | None:
     return None if over.isEmpty() else over.select("slice_id", "tr", "tc", F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
-def _cut(points: DataFrame, over: DataFrame | None) -> DataFrame:
-    if over is None:
-        return points.withColumn("part", F.lit(0))
-    met = points.join(over.hint("merge"), ["slice_id", "tr", "tc"], "left")
-    return met.withColumn("part", F.coalesce(F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+def _cut(points: DataFrame, over: DataFrame) -> DataFrame:
+    """``points`` with the part of their tile, null where it is not cut."""
+    met = points.join(F.broadcast(over), ["slice_id", "tr", "tc"], "left")
+    return met.withColumn("part", F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int")).drop("parts")
 
 
 def _spread(pdf: pd.DataFrame, rows: Axis, cols: Axis) -> pd.DataFrame:
@@ -130,13 +130,16 @@ def to_modes(points: DataFrame, rows: int, cols: int, eps: float = 1e-12, most:
     near = _placed(points).select("slice_id", "point_id", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "re", "im")))
     near = near.withColumn("tr", F.explode(_touched(F.col("y"), down))).withColumn("tc", F.explode(_touched(F.col("x"), across)))
     over = _parts(near, most)
-    tiles = _cut(near, over).groupBy("slice_id", "tr", "tc", "part").applyInPandas(lambda x: _spread(x, down, across), TILES)
-    if over is not None:  # partial grids are added on both sides of a shuffle, a place a row
-        cells = tiles.join(over.hint("merge"), ["slice_id", "tr", "tc"], "left_semi").select("slice_id", "tr", "tc", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
+    summed = lambda df, *keys: df.groupBy("slice_id", "tr", "tc", *keys).applyInPandas(lambda x: _spread(x, down, across), TILES)
+    if over is None:
+        tiles = summed(near)
+    else:  # partial grids are added on both sides of a shuffle, a place a row
+        cut = _cut(near, over)
+        cells = summed(cut.where(F.col("part").isNotNull()), "part").select("slice_id", "tr", "tc", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
         cells = cells.groupBy("slice_id", "tr", "tc", "k").agg(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
         whole = cells.groupBy("slice_id", "tr", "tc").agg(F.array_sort(F.collect_list(F.struct("k", "re", "im"))).alias("c"))
         whole = whole.select("slice_id", "tr", "tc", *(F.col("c")[n].alias(n) for n in ("re", "im")))
-        tiles = tiles.join(over.hint("merge"), ["slice_id", "tr", "tc"], "left_anti").unionByName(whole)
+        tiles = summed(cut.where(F.col("part").isNull()).drop("part")).unionByName(whole)
     panels = tiles.groupBy("slice_id", "tr").applyInPandas(lambda x: _band(x, down, across), PANELS)
     return _joined(panels.groupBy("slice_id", "panel").applyInPandas(lambda x: _panel(x, down, across), PIECES))
 
@@ -206,11 +209,11 @@ def to_points(images: DataFrame, points: DataFrame, rows: int, cols: int, eps: f
     near = _placed(points).select("slice_id", F.col("point_id").cast("long").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     near = near.withColumn("tr", _tile(_first(F.col("y"), down), down)).withColumn("tc", _tile(_first(F.col("x"), across), across))
     over = _parts(near, most)
-    near = _cut(near, over)
     if over is None:
-        blocks = blocks.withColumn("part", F.lit(0))
+        near, blocks = (df.withColumn("part", F.lit(0)) for df in (near, blocks))
     else:
-        told = blocks.join(over.hint("merge"), ["slice_id", "tr", "tc"], "left")
+        near = _cut(near, over).withColumn("part", F.coalesce("part", F.lit(0)))
+        told = blocks.join(F.broadcast(over), ["slice_id", "tr", "tc"], "left")
         blocks = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
     keys = ["slice_id", "tr", "tc", "part"]
     return near.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(lambda p, b: _read(p, b, down, across), "slice_id long, point_id long, re double, im double")

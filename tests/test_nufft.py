@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sinoflow.operators import nufft, toeplitz
 from sinoflow.operators import transforms as T
@@ -56,3 +57,14 @@ def test_point_spread_of_a_table_of_angles(spark, n):
     got = np.array([r["values"] for r in toeplitz.spread_rows(angles, n).orderBy("row_id").collect()])
     want = toeplitz.point_spread(theta, n)
     assert np.abs(got - want).max() < 1e-10 * np.abs(want).max()
+
+
+def test_points_of_a_full_tile_stay_where_they_are_read(spark):
+    """A point learns its part without a shuffle: with one by tile, all points of a tile were one task's."""
+    _, df = points_of(spark, (0,), 400)
+    near = df.select("slice_id", "point_id", F.lit(0).alias("tr"), F.lit(0).alias("tc"))
+    cut = nufft._cut(near, nufft._parts(near, 50))
+    held = [r["count"] for r in cut.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert sum(held) == 400 and max(held) <= 100
+    parts = [r["count"] for r in cut.groupBy("part").count().collect()]
+    assert len(parts) == 8 and max(parts) <= 100
