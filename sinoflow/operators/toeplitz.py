@@ -40,8 +40,9 @@ def transfer(theta, n: int) -> np.ndarray:
 
 
 def spread_rows(angles: DataFrame, n: int, eps: float = EPS) -> DataFrame:
-    """The point spread of ``angles`` (proj_id, theta) as rows (slice_id 0, row_id, values): every sample is a point of weight 1."""
-    points = grid(angles, n).select(F.lit(0).alias("slice_id"), F.xxhash64("proj_id", "col_id").alias("point_id"), "x", "y", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    """The point spread of ``angles`` (proj_id, theta) as rows (slice_id 0, row_id, values): every sample is a point, its weight how often its angle occurs."""
+    each = angles.groupBy("theta").agg(F.min("proj_id").alias("proj_id"), F.count(F.lit(1)).cast("double").alias("weight"))
+    points = grid(each, n, "theta", "weight").select(F.lit(0).alias("slice_id"), F.xxhash64("theta", "col_id").alias("point_id"), "x", "y", F.col("weight").alias("re"), F.lit(0.0).alias("im"))
     return nufft.to_modes(points, 2 * n - 1, 2 * n - 1, eps).select("slice_id", "row_id", F.col("re").alias("values"))
 
 

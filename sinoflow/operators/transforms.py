@@ -20,11 +20,11 @@ from .gridding import Gridding
 ROWS = "slice_id int, row_id int, values array<double>"
 
 
-def grid(angles: DataFrame, n: int) -> DataFrame:
-    """(proj_id, col_id, x, y): the polar samples of ``angles`` (proj_id, theta), as native expressions."""
+def grid(angles: DataFrame, n: int, *more: str) -> DataFrame:
+    """(proj_id, col_id, x, y): the polar samples of ``angles`` (proj_id, theta), as native expressions, with columns of ``angles`` that are asked for."""
     r = (F.col("col_id") - n // 2) * F.lit(2 * np.pi / (n - 1))
-    every = angles.select("proj_id", "theta", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("col_id"))
-    return every.select("proj_id", "col_id", (F.cos("theta") * r).alias("x"), (F.sin("theta") * r).alias("y"))
+    every = angles.select(*dict.fromkeys(("proj_id", "theta", *more)), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("col_id"))
+    return every.select("proj_id", "col_id", (F.cos("theta") * r).alias("x"), (F.sin("theta") * r).alias("y"), *more)
 
 
 def polar(theta: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

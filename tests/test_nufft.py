@@ -68,3 +68,16 @@ def test_points_of_a_full_tile_stay_where_they_are_read(spark):
     assert sum(held) == 400 and max(held) <= 100
     parts = [r["count"] for r in cut.groupBy("part").count().collect()]
     assert len(parts) == 8 and max(parts) <= 100
+
+
+def test_point_spread_of_repeated_angles(spark, monkeypatch):
+    """An angle that occurs often is a point of that weight, so the points are no more than the angles that differ."""
+    theta = np.concatenate([np.repeat(T.even_angles(5), 40), [0.3]])
+    angles = spark.createDataFrame([*((k, float(t)) for k, t in enumerate(theta)), (900, None), (901, float("nan"))], "proj_id long, theta double")
+    seen = []
+    to_modes = nufft.to_modes
+    monkeypatch.setattr(nufft, "to_modes", lambda points, *how: seen.append(points) or to_modes(points, *how))
+    got = np.array([r["values"] for r in toeplitz.spread_rows(angles, 9).orderBy("row_id").collect()])
+    want = toeplitz.point_spread(theta, 9)
+    assert np.abs(got - want).max() < 1e-10 * np.abs(want).max()
+    assert seen[0].where("x is not null and not isnan(x)").count() == 6 * 9
